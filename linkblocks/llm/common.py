@@ -32,3 +32,8 @@ def written(df: DataFrame) -> DataFrame:
 
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def hinted(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A narrow table with a broadcast hint if it is counted to be small, and without one beyond that."""
+    return F.broadcast(ids) if ids.count() <= most else ids

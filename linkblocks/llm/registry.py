@@ -1,8 +1,8 @@
 """Queries of this subpackage and their SQL."""
 
-from . import chat, licenses, secrets
+from . import bagminhash, chat, imatch, licenses, secrets
 
-QUERIES = {f.__name__: f for f in (secrets.op2_secret_scan, chat.op4_chat_format, licenses.op10_license_scan)}
+QUERIES = {f.__name__: f for f in (secrets.op2_secret_scan, imatch.op3_imatch, chat.op4_chat_format, bagminhash.op6_bagminhash, licenses.op10_license_scan)}
 SQL = {"op2_secret_scan": secrets.ORACLE_SQL, "op4_chat_format": chat.ORACLE_SQL, "op10_license_scan": licenses.ORACLE_SQL}
 
 
