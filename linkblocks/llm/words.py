@@ -67,9 +67,9 @@ def chunks(at: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the number of the first word of each row (and the count of all)."""
-    full = ~SPACE[data]
+    full = ~space[data]
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
