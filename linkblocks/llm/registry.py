@@ -1,8 +1,8 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bagminhash, chat, imatch, licenses, pieces, secrets
+from . import bagminhash, chat, imatch, language, licenses, pieces, secrets
 
-QUERIES = {f.__name__: f for f in (secrets.op2_secret_scan, imatch.op3_imatch, chat.op4_chat_format, bagminhash.op6_bagminhash, pieces.op9_sentencepiece, licenses.op10_license_scan)}
+QUERIES = {f.__name__: f for f in (secrets.op2_secret_scan, imatch.op3_imatch, chat.op4_chat_format, language.op5_language_id, bagminhash.op6_bagminhash, pieces.op9_sentencepiece, licenses.op10_license_scan)}
 SQL = {"op2_secret_scan": secrets.ORACLE_SQL, "op4_chat_format": chat.ORACLE_SQL, "op10_license_scan": licenses.ORACLE_SQL}
 
 
