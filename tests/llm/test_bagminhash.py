@@ -76,3 +76,16 @@ def test_classes_equal_brute_force(spark):
 
 def test_empty_table(spark):
     assert B.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_blocks_find_what_leaders_miss(spark, monkeypatch):
+    """Chains of small edits: neighbours are near, ends aren't, and blocks of two members must still meet."""
+    monkeypatch.setattr(B, "BLOCK", 2)
+    base = [f"v{i}" for i in range(120)]
+    rows = []
+    for i in range(40):
+        base = list(base)
+        base[(i * 7) % 120] = f"x{i}"
+        rows.append((i, " ".join(base)))
+    got = {r.doc_id: r.class_id for r in B.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
