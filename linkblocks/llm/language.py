@@ -85,10 +85,10 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def train(x: np.ndarray, y: np.ndarray, n_out: int, epochs: int = 6, batch: int = 64, rate: float = 5e-3, seed: int = 1) -> Net:
+def train(x: np.ndarray, y: np.ndarray, n_out: int, steps: int = 600, batch: int = 64, rate: float = 5e-3, seed: int = 1) -> Net:
     net, r, t = Net(n_out, seed), np.random.RandomState(seed), 0
     m, v = ([np.zeros_like(p) for p in net.parameters()] for _ in range(2))
-    for _ in range(epochs):
+    for _ in range(-(-steps // -(-len(x) // batch))):
         order = r.permutation(len(x))
         for k in range(0, len(x), batch):
             pick = order[k : k + batch]
