@@ -2,8 +2,12 @@
 
 
 def queries() -> dict:
-    return {}
+    from .catalog import QUERIES
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    from .catalog import SQL
+
+    return dict(SQL)
