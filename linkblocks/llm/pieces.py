@@ -40,6 +40,8 @@ CUTS = W.SPACE.copy()
 CUTS[13] = False
 START, NONE = -2, -1
 CACHED = 400_000
+#: Bytes of text in numpy at once: more words then are looked up once.
+STEP = 2 << 20
 
 
 def default_model() -> str:
@@ -433,7 +435,7 @@ def _coder(model_bytes: tuple, keep_ids: bool):
         seg = _SEGMENTERS[name]
         for batch in batches:
             doc, (data, at) = batch.column(0), W.utf8(batch.column(1))
-            for i, j in W.chunks(at):
+            for i, j in W.chunks(at, STEP):
                 ids, ends = encode_rows(seg, data[at[i] : at[j]], at[i : j + 1] - at[i])
                 back, ends2 = decode_rows(seg.model, ids, ends)
                 raw, said = back.tobytes(), ids.astype("<i4").tobytes()

@@ -45,7 +45,7 @@ SPAN = LENGTH - GRAM + 1
 #: Columns of aligned stretches: before and from the anchor on.
 BEFORE = LENGTH - GRAM
 COLUMNS = BEFORE + LENGTH
-HELD = 50_000
+HELD = 20_000
 ANCHORS = "doc_id long, th long, low long, high long, place long, gram long, whole long"
 
 
@@ -91,7 +91,7 @@ def anchors(data: np.ndarray, at: np.ndarray):
 def _anchored(batches):
     for batch in batches:
         ids, th, (data, at) = batch.column(0), batch.column(1), W.utf8(batch.column(2))
-        for i, j in W.chunks(at, 1 << 20):
+        for i, j in W.chunks(at):
             row, *cols = anchors(data[at[i] : at[j]], at[i : j + 1] - at[i])
             if len(row):
                 take = pa.array(row + i)
@@ -99,17 +99,21 @@ def _anchored(batches):
 
 
 def _cut(batches):
-    """The bytes of wanted stretches: (text, list of them) to rows."""
+    """The bytes of wanted stretches: (text, list of them) to rows, some thousand at a time."""
     for batch in batches:
         (data, at), wanted = W.utf8(batch.column(2)), batch.column(3)
-        raw = data.tobytes()
-        ids, th = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        out: list[tuple] = []
-        for k, items in enumerate(wanted.to_pylist()):
-            for w in items:
-                out.append((w["gram"], ids[k], th[k], w["low"], w["place"], raw[at[k] + w["low"] : at[k] + w["high"] + LENGTH]))
-        if out:
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*out, strict=True))[:5]), pa.array([o[5] for o in out], pa.binary())], ["gram", "doc_id", "th", "low", "place", "piece"])
+        ends = wanted.offsets.to_numpy()
+        items = wanted.values
+        row = np.repeat(np.arange(len(wanted)), np.diff(ends))
+        gram, low, high, place = (items.field(k).to_numpy(zero_copy_only=False)[ends[0] : ends[-1]] for k in range(4))
+        for i in range(0, len(row), 2000):
+            k = slice(i, i + 2000)
+            start, size = at[row[k]] + low[k], high[k] + LENGTH - low[k]
+            stop = np.cumsum(size)
+            pick = np.repeat(start - stop + size, size) + np.arange(stop[-1])
+            piece = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, stop].astype(np.int32)), pa.py_buffer(data[pick])])
+            take = pa.array(row[k])
+            yield pa.RecordBatch.from_arrays([pa.array(gram[k]), batch.column(0).take(take), batch.column(1).take(take), pa.array(low[k]), pa.array(place[k]), piece], ["gram", "doc_id", "th", "low", "place", "piece"])
 
 
 def repeated(pieces: list[bytes], offset: np.ndarray) -> list[tuple[int, int, int]]:
@@ -226,11 +230,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, th, begin, end): stretches of bytes that repeated windows cover, overlapping ones not merged. th is the hash of the text."""
     named = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     found = written(named.mapInArrow(_anchored, ANCHORS))
-    kind = ["whole", "gram", (F.col("high") - F.col("low")).alias("wide"), (F.col("place") - F.col("low")).alias("ahead")]
+    # the hash of the whole takes in its length, and equal stretches have their anchors at one place
+    kind = ["whole", "gram"]
     row = F.struct("doc_id", "th", "low", "high", "place")
     kinds = written(found.groupBy(*kind).agg(F.min(row).alias("one"), F.count("*").alias("n")))
     # whole stretches that occur again
-    often = found.join(kinds.where("n > 1").select("whole", "gram", "wide", "ahead"), [found["whole"] == kinds["whole"], found["gram"] == kinds["gram"], found["high"] - found["low"] == kinds["wide"], found["place"] - found["low"] == kinds["ahead"]], "left_semi")
+    often = found.join(kinds.where("n > 1").select(*kind), kind, "left_semi")
     whole = often.select("doc_id", "th", F.col("low").alias("begin"), (F.col("high") + LENGTH).alias("end"))
     # anchors of several kinds of stretches, at least one of which occurs once
     mixed = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("gram")

@@ -58,7 +58,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def chunks(at: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def chunks(at: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most so many bytes, or of one row."""
     i, n = 0, len(at) - 1
     while i < n:
