@@ -325,7 +325,14 @@ def learn(docs: DataFrame, known: int = KNOWN) -> tuple[DataFrame, Scale, Gru]:
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     table_of = written(counts(docs))
     total = table_of.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = table_of.orderBy(F.desc("c"), "word").limit(known).toArrow()
+    # the count from which on there are at most so many words; the histogram of counts is short
+    cut, held = 1, 0
+    for r in table_of.groupBy("c").agg(F.count("*").alias("words")).orderBy(F.desc("c")).toLocalIterator():
+        held += r.words
+        if held > known:
+            cut = r.c + 1
+            break
+    top = table_of.where(F.col("c") >= cut).toArrow()
     scale = Scale(list(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True)), int(total.n), docs.count(), int(total.v))
     ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     sample = docs.join(F.broadcast(ids), "doc_id").toArrow().sort_by([("doc_id", "ascending")])
