@@ -13,9 +13,10 @@ agree with the probability sum(min) / sum(max) of their weights.
 
 Bands of registers give buckets. Equal multisets are one candidate. In a bucket
 all are compared with one leader first, each bucket's drawn by a hash. Where a
-bucket then still holds several components, its members' registers are compared
-in numpy, all with all across components, in pairs of blocks of ``BLOCK`` members;
-pairs that agree in ``MAYBE`` of the registers or more are candidates too. So
+bucket then still holds several components, its members get signatures of ``FINE``
+registers, which are compared in numpy, all with all across components, in pairs of
+blocks of ``BLOCK`` members; pairs that agree in ``MAYBE`` of them or more are
+candidates too, the nearest of each text before those that this leaves apart. So
 members of a group aren't paired with each other as rows, and no co-bucketed texts
 of different components stay uncompared. Every link is verified by the exact
 overlap of both multisets.
@@ -37,8 +38,12 @@ from .common import hinted, table, text_or_empty, written
 WORDS, LEAST = 5, 0.8
 #: A pair at 0.8 shares a band with a chance of 0.9996.
 BANDS, ROWS = 34, 7
-#: Share of agreeing registers from which a pair is verified: 0.8 less 2.3 standard deviations.
-MAYBE, BLOCK = 0.74, 1024
+#: Registers of the finer signatures of texts that leaders leave apart, and the share of them
+#: that must agree for a pair to be verified: 0.8 less 2.3 standard deviations.
+FINE = 1024
+MAYBE, BLOCK = LEAST - 2.3 * (LEAST * (1 - LEAST) / FINE) ** 0.5, 1024
+#: Bytes of text in numpy at once.
+STEP = 1 << 19
 _MULT = W.mix(np.arange(11, 11 + 64, dtype=np.uint64)) | np.uint64(1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,20 +82,26 @@ def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_rows:
     key = W.mix(np.repeat(shingle, n) + (k.astype(np.uint64) + np.uint64(1)) * _MULT[20])
     low = np.where(k == 0, 0.0, 2.0 ** (k - 1))
     length = np.where(k == 0, 1.0, low)
-    time, point = np.zeros(len(row)), np.uint64(0)
+    time, point = np.zeros(len(row)), 0
     flat, last = out.reshape(-1), np.full(n_rows, np.inf)
     while len(row):
-        point += np.uint64(1)
-        u = W.mix(key + point * _GOLD)
+        # a few elements get many points at once; points past the last register change nothing
+        many = int(np.clip(20_000 // len(row), 1, 64))
+        serial = np.arange(point + 1, point + 1 + many, dtype=np.uint64) * _GOLD
+        point += many
+        u = W.mix(key[:, None] + serial)
         v = W.mix(u + _MULT[21])
-        time = time - np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / length
-        alive = time < last[row]
-        row, key, low, length, weight, time, v = (x[alive] for x in (row, key, low, length, weight, time, v))
-        level = low + length * ((v & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32)
-        ok = level < weight
-        np.minimum.at(flat, row[ok] * size + ((v[ok] >> np.uint64(32)) % np.uint64(size)).astype(np.int64), time[ok])
-        if point < 8 or point % np.uint64(8) == 0:
+        gap = -np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+        times = time[:, None] + np.cumsum(gap, 1) / length[:, None]
+        level = low[:, None] + length[:, None] * ((v & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32)
+        ok = (level < weight[:, None]) & (times < last[row][:, None])
+        place = row[:, None] * size + ((v >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
+        np.minimum.at(flat, place[ok], times[ok])
+        if point < 8 or many > 1 or point % 8 == 0:
             last = out.max(1)
+        time = times[:, -1]
+        alive = time < last[row]
+        row, key, low, length, weight, time = (x[alive] for x in (row, key, low, length, weight, time))
     return out
 
 
@@ -107,24 +118,32 @@ def _sums(row: np.ndarray, x: np.ndarray, n_rows: int) -> np.ndarray:
     return out
 
 
-SIGNED = "doc_id long, bag1 long, bag2 long, bands array<long>, registers binary"
+SIGNED = "doc_id long, bag1 long, bag2 long, bands array<long>"
 
 
 def _signed(batches):
     for batch in batches:
         ids, (data, at) = batch.column(0), W.utf8(batch.column(1))
-        for i, j in W.chunks(at):
+        for i, j in W.chunks(at, STEP):
             row, s, w = bags(data[at[i] : at[j]], at[i : j + 1] - at[i])
             n = j - i
             bag1, bag2 = (_sums(row, W.mix(s + w.astype(np.uint64) * _MULT[k]), n) for k in (40, 41))
             some = np.zeros(n, bool)
             some[row] = True
-            registers = signatures(row, s, w, n)
-            keys = bands(registers).view(np.int64)
-            short = (W.mix(registers.view(np.uint64)) >> np.uint64(48)).astype("<u2")
+            keys = bands(signatures(row, s, w, n)).view(np.int64)
             offsets = np.r_[0, np.cumsum(some * BANDS)].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([ids.slice(i, n), pa.array(bag1.view(np.int64)), pa.array(bag2.view(np.int64)), lists, pa.array([x.tobytes() for x in short], pa.binary())], ["doc_id", "bag1", "bag2", "bands", "registers"])
+            yield pa.RecordBatch.from_arrays([ids.slice(i, n), pa.array(bag1.view(np.int64)), pa.array(bag2.view(np.int64)), lists], ["doc_id", "bag1", "bag2", "bands"])
+
+
+def _finely(batches):
+    """Signatures of FINE registers of two bytes."""
+    for batch in batches:
+        ids, (data, at) = batch.column(0), W.utf8(batch.column(1))
+        for i, j in W.chunks(at, STEP):
+            registers = signatures(*bags(data[at[i] : at[j]], at[i : j + 1] - at[i]), j - i, FINE)
+            short = (W.mix(registers.view(np.uint64)) >> np.uint64(48)).astype("<u2")
+            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([x.tobytes() for x in short], pa.binary())], ["doc_id", "registers"])
 
 
 def overlap(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], n: int) -> np.ndarray:
@@ -143,7 +162,7 @@ def overlap(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], n: int) -> np.
 def _verified(batches):
     for batch in batches:
         (da, aa), (db, ab) = W.utf8(batch.column(2)), W.utf8(batch.column(3))
-        for i, j in W.chunks(aa + ab):
+        for i, j in W.chunks(aa + ab, STEP):
             x = bags(da[aa[i] : aa[j]], aa[i : j + 1] - aa[i])
             y = bags(db[ab[i] : ab[j]], ab[i : j + 1] - ab[i])
             sim = overlap(x, y, j - i)
@@ -191,34 +210,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     marks = written(signed(docs))
     reps = written(marks.groupBy("bag1", "bag2").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("bag1", "bag2", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")))
-    keyed = reps.select("rep", F.explode("bands").alias("key"))
+    keyed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     leader = F.min(F.struct(F.xxhash64("rep", "key").alias("draw"), "rep"))["rep"]
     buckets = keyed.groupBy("key").agg(leader.alias("leader"), F.count("*").alias("n")).where("n > 1")
     shared = written(keyed.join(buckets, "key"))
     first = shared.where("rep != leader").select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
     links = written(verified(first, docs).select("a", "b"))
     labels = components(links)
-    second = written(_across(shared, labels, marks))
-    final = labels if second.isEmpty() else components(links.unionByName(verified(second, docs).select("a", "b")))
+    second = written(_across(shared, labels, reps, docs))
+    final = labels if second.isEmpty() else _joined(links, second, docs)
     classes = reps.join(final, reps["rep"] == final["node"], "left").select("bag1", "bag2", F.coalesce("label", "rep").alias("class_id"))
     return marks.select("doc_id", "bag1", "bag2").join(classes, ["bag1", "bag2"]).select("doc_id", "class_id")
 
 
-def _across(shared: DataFrame, labels: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket and of different components whose registers agree often enough."""
-    seen = shared.join(labels, shared["rep"] == labels["node"], "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
+def _joined(links: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Labels after the pairs (a, b, near) are verified too: each text's nearest first, then those whose texts are still in different components."""
+    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("near", "b")).alias("b")).unionByName(pairs.groupBy("b").agg(F.max_by("a", F.struct("near", "a")).alias("a")).select("a", "b"))
+    best = written(best.distinct())
+    links = written(links.unionByName(verified(best, docs).select("a", "b")))
+    labels = components(links)
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+    rest = written(apart.join(best, ["a", "b"], "left_anti"))
+    return labels if rest.isEmpty() else components(links.unionByName(verified(rest, docs).select("a", "b")))
+
+
+def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b, near) of one bucket and of different components whose registers agree often enough; near is how many do."""
+    seen = shared.join(labels, shared["rep"] == labels["node"], "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"), "band")
     split = seen.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
     rest = written(seen.join(split, "key"))
     ids = hinted(rest.select(F.col("rep").alias("doc_id")).distinct())
-    registers = marks.select("doc_id", "registers").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("registers").alias("registers"))
+    fine = docs.join(ids, "doc_id", "left_semi").mapInArrow(_finely, "doc_id long, registers binary").groupBy("doc_id").agg(F.min("registers").alias("registers"))
+    registers = written(fine.join(reps.select(F.col("rep").alias("doc_id"), "bands"), "doc_id"))
     # a member's block meets every block of its bucket: (x, y) with x <= y
     blocks = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("rep"), blocks)
-    rows = rest.select("key", "rep", "label", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "label")
-    rows = rows.join(registers, rows["rep"] == registers["doc_id"]).drop("doc_id")
+    rows = rest.select("key", "rep", "label", "band", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "label", "band")
+    rows = rows.join(registers, rows["rep"] == registers["doc_id"]).select("key", "x", "y", "own", "rep", "label", "band", "registers", "bands")
     rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return rows.mapInArrow(_compared, "a long, b long").distinct()
+    return rows.mapInArrow(_compared, "a long, b long, near long").distinct()
 
 
 def _compared(batches):
@@ -238,17 +270,23 @@ def _compared(batches):
 def _block(t: pa.Table) -> pa.RecordBatch:
     x, y = t.column(1)[0].as_py(), t.column(2)[0].as_py()
     own, rep, label = (t.column(i).to_numpy() for i in (3, 4, 5))
-    regs = np.frombuffer(b"".join(t.column(6).to_pylist()), "<u2").reshape(len(rep), -1)
+    band = t.column(6)[0].as_py()
+    regs = np.frombuffer(b"".join(t.column(7).to_pylist()), "<u2").reshape(len(rep), -1)
     one = np.flatnonzero(own == x)
     two = one if x == y else np.flatnonzero(own == y)
-    a, b = [], []
+    a, b, c = [], [], []
+    keys = t.column(8).combine_chunks().flatten().to_numpy().reshape(len(rep), -1)[:, :band]
     least = int(np.ceil(MAYBE * regs.shape[1]))
     for i in one:
         other = two[(label[two] != label[i]) & ((rep[two] > rep[i]) | (x != y))]
-        near = other[(regs[other] == regs[i]).sum(1) >= least]
+        # a pair of several buckets is named in the first of them only
+        other = other[~(keys[other] == keys[i]).any(1)]
+        same = (regs[other] == regs[i]).sum(1)
+        near = other[same >= least]
         a.append(np.maximum(rep[near], rep[i]))
         b.append(np.minimum(rep[near], rep[i]))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        c.append(same[same >= least])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, c)], ["a", "b", "near"])
 
 
 def op6_bagminhash(spark, sf_dir: str) -> DataFrame:
