@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import hinted, table, text_or_empty, written
 
 
 @dataclass(frozen=True)
@@ -133,7 +133,8 @@ def redact(docs: DataFrame, findings: DataFrame, mask: str = "[redacted]") -> Da
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
     paths, findings, _ = scan(table(spark, sf_dir, "documents"))
-    rows = findings_by_path(paths, findings)
+    # a table of its own: few blobs have findings, and if many do, hot blobs can be split in the join
+    rows = findings_by_path(paths, hinted(written(findings), 100_000))
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return rows.select(
