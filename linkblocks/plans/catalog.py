@@ -96,13 +96,13 @@ def standard_blocking(spark, sf) -> DataFrame:
     return _nations(spark, sf).sizes()
 
 
-@query("""with a as (select distinct n_nationkey as id, n_name[i:i+2] as g from (select *, unnest(range(1, cast(length(n_name) as bigint) - 1)) as i from nation)),
-b as (select distinct r_regionkey as id, r_name[i:i+2] as g from (select *, unnest(range(1, cast(length(r_name) as bigint) - 1)) as i from region))
-select a.g as block_id, cast(a.id as varchar) as left_id, cast(b.id as varchar) as right_id from a join b on a.g = b.g""")
+@query("""with a as (select distinct c_custkey as id, c_name[i:i+2] as g from (select *, unnest(range(1, cast(length(c_name) as bigint) - 1)) as i from customer)),
+b as (select distinct s_suppkey as id, s_name[i:i+2] as g from (select *, unnest(range(1, cast(length(s_name) as bigint) - 1)) as i from supplier))
+select a.g as block_id, n_left, n_right from (select g, count(*) as n_left from a group by g) a join (select g, count(*) as n_right from b group by g) b on a.g = b.g""")
 def qgram_blocking(spark, sf) -> DataFrame:
-    a = EntityFrame(I.read(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("name")), "n_nationkey", "left")
-    b = EntityFrame(I.read(spark, sf, "region").select("r_regionkey", F.col("r_name").alias("name")), "r_regionkey", "right")
-    return QgramsBlocker("name").assign(a, b).pairs()
+    a = EntityFrame(I.read(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name")), "c_custkey", "left")
+    b = EntityFrame(I.read(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("name")), "s_suppkey", "right")
+    return QgramsBlocker("name").assign(a, b).sizes()
 
 
 @query(f"with {I.TOKENS}, {I.SIZES} select tok as block_id, n_left, n_right from sz")
@@ -117,10 +117,10 @@ def token_blocking_pairs(spark, sf) -> DataFrame:
     return b.left.join(b.sizes(), "block_id").groupBy(F.col("entity_id").alias("left_id")).agg(F.sum("n_right").alias("n_pairs"))
 
 
-@query(f"""with t as ({I.PARTS}), u as (select side, tail, min(head) as head from t where tail is not null group by side, tail having count(distinct head) = 1)
+@query(f"""with {I.GRAPH}, t as (select 0 as side, * from a0 union all select 1, * from a1), u as (select side, tail, min(head) as head from t where tail is not null group by side, tail having count(distinct head) = 1)
 select 'unique_' || a.tail as block_id, a.head as left_id, b.head as right_id from u a join u b on a.tail = b.tail where a.side = 0 and b.side = 1""")
 def unique_name_blocking(spark, sf) -> DataFrame:
-    return UniqueNameBlocker().assign(I.parts(spark, sf, 0), I.parts(spark, sf, 1)).pairs()
+    return UniqueNameBlocker().assign(I.graph_attributes(spark, sf, 0), I.graph_attributes(spark, sf, 1)).pairs()
 
 
 @query(f"""with t as ({I.PARTS}), x as (select side, head as id, string_agg(distinct trim(coalesce(tail, '')), ' ') as text from t group by side, head),

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settled
 from ..functions.text import Tokenizer, exploded_tokens, pattern_tokens
 from .knn import mean_vectors
 
@@ -271,7 +272,7 @@ class LightEAEncoder(RelationEncoder):
         links = t.select(F.col("head").alias("e"), F.concat(F.lit("+"), "relation").alias("r")).unionByName(t.select(F.col("tail").alias("e"), F.concat(F.lit("-"), "relation").alias("r")))
         links = links.groupBy("e", "r").agg(F.count("*").cast("double").alias("weight"))
         near = adjacency(rel)
-        e = vectors.select("id", unit(F.col("vec")).alias("vec"))
+        e = settled(vectors.select("id", unit(F.col("vec")).alias("vec")))
         rounds = [] if self.only_neighbors else [e]
         r = None
         for _ in range(self.depth):
@@ -279,8 +280,8 @@ class LightEAEncoder(RelationEncoder):
             parts = near.unionByName(links.select(F.col("e").alias("src"), F.col("r").alias("dst"), "weight")) if r is not None else near
             source = e.unionByName(r) if r is not None else e
             new = weighted_sums(parts, source).select("id", unit(F.col("vec")).alias("vec"))
-            e = vectors.select("id").join(new, "id", "left").join(e.withColumnRenamed("vec", "old"), "id").select("id", F.coalesce("vec", "old").alias("vec"))
-            r = own
+            e = settled(e.withColumnRenamed("vec", "old").join(new, "id", "left").select("id", F.coalesce("vec", "old").alias("vec")))
+            r = settled(own)
             rounds.append(e)
         out = rounds[0].withColumnRenamed("vec", "v0")
         for k, x in enumerate(rounds[1:], 1):
@@ -311,7 +312,7 @@ class GcnEncoder(RelationEncoder):
         n = first.n if first else self.size
         x = vectors
         for _ in range(self.depth):
-            x = weighted_sums(edges, x, self.aggr)
+            x = settled(weighted_sums(edges, x, self.aggr))
             if self.layers:
                 bound = np.sqrt(6 / (n + self.dims))
                 w = r.uniform(-bound, bound, (n, self.dims))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..blocks import BlockSet, NNBlockSet
+from ..functions.lineage import settled
 from .hdbscan import hdbscan
 
 PACK = 2048
@@ -122,9 +123,11 @@ def sinkhorn(candidates: DataFrame, iterations: int = 10, reg: float = 0.05) ->
     # similarity is minus the distance, scaled to 0..1 over all
     sim = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("distance")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(0.0))
     w = candidates.crossJoin(ends).select("left_id", "right_id", F.exp(sim / reg).alias("weight"))
-    for _ in range(iterations):
+    for i in range(iterations):
         for side in ("left_id", "right_id"):
             w = w.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy(side)))
+        if i % 5 == 4:
+            w = settled(w)
     return w
 
 
