@@ -117,6 +117,20 @@ def gold_from_clusters(members: DataFrame, left: str, right: str) -> DataFrame:
     return a.join(b, "cluster_id").select(left, right).distinct()
 
 
+def synthetic_dataset(spark, n: int = 20, matches: int = 2) -> EntityDataset:
+    """Two small graphs of n entities each, of which the first ``matches`` have equal names."""
+    def side(p: str):
+        names = [(f"{p}{i}", "name", f"match {i}" if i < matches else f"{p} name {i}") for i in range(n)]
+        ages = [(f"{p}{i}", "age", str(20 + i % 7)) for i in range(n)]
+        rel = [(f"{p}{i}", "near", f"{p}{(i + 1) % n}") for i in range(n)] + [(f"{p}{i}", "rdf:type", f"{p}0") for i in range(0, n, 2)]
+        frame = lambda rows, cols: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
+        return TripleFrame(frame(names + ages, ("head", "relation", "tail")), "head", p), frame(rel, ("head", "relation", "tail"))
+
+    (left, left_rel), (right, right_rel) = side("a"), side("b")
+    gold = spark.createDataFrame([(f"a{i}", f"b{i}") for i in range(matches)], "a string, b string")
+    return EntityDataset.build(left, right, gold, left_rel, right_rel)
+
+
 class VectorTable:
     """(name, vec): unique names with vectors of one length."""
 

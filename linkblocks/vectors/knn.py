@@ -195,7 +195,35 @@ class HdbscanBuilder(BlockBuilder):
         return cluster_blocks(*clustered(left, right, **self.options), left_name, right_name)
 
 
-BUILDERS = {"nearest": NearestNeighborBuilder, "sinkhorn": SinkhornBuilder, "hdbscan": HdbscanBuilder}
+def approximate_pairs(left: DataFrame, right: DataFrame, size: int, tables: int = 16, bits: int = 8, seed: int = 5) -> DataFrame:
+    """(left_id, right_id): names whose vectors lie on the same side of all ``bits`` random hyperplanes of one of ``tables`` sets."""
+    r = np.random.RandomState(seed)
+    planes = r.randn(tables, bits, size)
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        dot = lambda p: F.aggregate(F.zip_with("vec", F.array(*(F.lit(float(x)) for x in p)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        keys = [F.concat(F.lit(f"{t}:"), *(F.when(dot(p) >= 0, "1").otherwise("0") for p in planes[t])) for t in range(tables)]
+        return df.select(F.col("name").alias(name), F.explode(F.array(*keys)).alias("key"))
+
+    return keyed(left, "left_id").join(keyed(right, "right_id"), "key").select("left_id", "right_id").distinct()
+
+
+class ApproximateBuilder(BlockBuilder):
+    """Nearest neighbours among the vectors that share a hash of random hyperplanes; distances are exact, neighbours may be missed."""
+
+    def __init__(self, n_neighbors: int = 5, tables: int = 16, bits: int = 8, seed: int = 5):
+        self.n, self.tables, self.bits, self.seed = n_neighbors, tables, bits, seed
+
+    def build(self, left, right, left_name="left", right_name="right") -> NNBlockSet:
+        first = left.select(F.size("vec").alias("n")).first()
+        pairs = approximate_pairs(left, right, first.n if first else 1, self.tables, self.bits, self.seed)
+        a, b = left.select(F.col("name").alias("left_id"), F.col("vec").alias("a")), right.select(F.col("name").alias("right_id"), F.col("vec").alias("b"))
+        d = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+        rows = pairs.join(a, "left_id").join(b, "right_id").select("left_id", "right_id", F.round(d, 9).alias("distance"))
+        return NNBlockSet(_ranked(rows, F.asc("distance"), self.n), left_name, right_name)
+
+
+BUILDERS = {"nearest": NearestNeighborBuilder, "approximate": ApproximateBuilder, "sinkhorn": SinkhornBuilder, "hdbscan": HdbscanBuilder}
 
 
 def builder(name: str | BlockBuilder | None = None, **options) -> BlockBuilder:

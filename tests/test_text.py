@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkblocks.functions import text as X
-from linkblocks.model import EntityDataset, EntityFrame, TripleFrame, VectorTable, gold_from_clusters
+from linkblocks.model import EntityDataset, EntityFrame, TripleFrame, VectorTable, gold_from_clusters, synthetic_dataset
 
 from .fixtures import relations, triples, wide
 
@@ -54,3 +54,13 @@ def test_vector_table(spark):
         VectorTable.from_rows(spark, "aa", [[1], [2]])
     with pytest.raises(KeyError):
         v["z"]
+
+
+def test_synthetic_dataset_is_solved_by_names(spark):
+    from linkblocks.operators import UniqueNameBlocker
+    from linkblocks.operators.graph import count_entities, name_pairs
+
+    d = synthetic_dataset(spark)
+    assert {tuple(r) for r in UniqueNameBlocker().assign(d.left, d.right).all_pairs().collect()} == {("a0", "b0"), ("a1", "b1")}
+    n = [count_entities(f.df, r) for f, r in ((d.left, d.left_rel), (d.right, d.right_rel))]
+    assert {(r.left_id, r.right_id) for r in name_pairs(d.left.triples(), d.right.triples(), *n, 1).collect()} == {("a0", "b0"), ("a1", "b1")}

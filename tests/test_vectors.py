@@ -75,3 +75,13 @@ def test_checks(spark):
     two = df.select("id", "x")
     got = E.FunctionEncoder(lambda texts: [[len(t), 1.0] for t in texts]).encode(two, two)[0].first()
     assert got.vec == [1.0, 1.0]
+
+
+def test_approximate_neighbours(spark):
+    r = np.random.RandomState(3)
+    x = r.randn(120, 8)
+    df = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(x)], "name string, vec array<double>")
+    a, b = df.where("cast(substr(name, 2) as int) % 2 = 0"), df.where("cast(substr(name, 2) as int) % 2 = 1")
+    exact = {(q.left_id, q.right_id) for q in K.nearest(a, b, 3).collect()}
+    got = {(q.left_id, q.right_id) for q in K.builder("approximate", n_neighbors=3, tables=24, bits=4).build(a, b).df.collect()}
+    assert len(exact & got) >= 0.9 * len(exact)
