@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import hinted, table, text_or_empty, written
+from .common import hinted, mapped, table, text_or_empty, written
 
 WORDS, LEAST = 5, 0.8
 #: A pair at 0.8 shares a band with a chance of 0.9996.
@@ -177,7 +177,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.join(ids, "doc_id", "left_semi")
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verified, "a long, b long, similarity double")
+    return mapped(both, _verified, "a long, b long, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    return docs.mapInArrow(_signed, SIGNED)
+    return mapped(docs, _signed, SIGNED)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFra
     split = seen.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
     rest = written(seen.join(split, "key"))
     ids = hinted(rest.select(F.col("rep").alias("doc_id")).distinct())
-    fine = docs.join(ids, "doc_id", "left_semi").mapInArrow(_finely, "doc_id long, registers binary").groupBy("doc_id").agg(F.min("registers").alias("registers"))
+    fine = mapped(docs.join(ids, "doc_id", "left_semi"), _finely, "doc_id long, registers binary").groupBy("doc_id").agg(F.min("registers").alias("registers"))
     registers = written(fine.join(reps.select(F.col("rep").alias("doc_id"), "bands"), "doc_id"))
     # a member's block meets every block of its bucket: (x, y) with x <= y
     blocks = F.ceil(F.col("n") / BLOCK)
@@ -250,7 +250,7 @@ def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFra
     rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "label", "band")
     rows = rows.join(registers, rows["rep"] == registers["doc_id"]).select("key", "x", "y", "own", "rep", "label", "band", "registers", "bands")
     rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return rows.mapInArrow(_compared, "a long, b long, near long").distinct()
+    return mapped(rows, _compared, "a long, b long, near long").distinct()
 
 
 def _compared(batches):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +39,33 @@ def text_or_empty(col: str = "text") -> Column:
 def hinted(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     """A narrow table with a broadcast hint if it is counted to be small, and without one beyond that."""
     return F.broadcast(ids) if ids.count() <= most else ids
+
+
+#: Rows are whole documents, so a batch of Spark's usual 10,000 is tens of megabytes on either side.
+BATCH_ROWS = 1000
+
+
+def trim() -> None:
+    """Gives memory that is free in this process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def _tidy(function):
+    def run(batches):
+        yield from function(batches)
+        trim()  # workers wait for their next task with what they have
+
+    return run
+
+
+def mapped(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow with batches of at most BATCH_ROWS rows; the session's setting is lowered if it is higher."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(_tidy(function), schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import table, text_or_empty, written
+from .common import mapped, table, text_or_empty, written
 from .language import fold_is
 
 FOLDS, HELD_OUT = 7, 2
@@ -70,7 +70,7 @@ def _counted(batches):
 
 def counts(docs: DataFrame) -> DataFrame:
     """(word, c): how often each word hash occurs in docs (text)."""
-    return docs.select(text_or_empty().alias("text")).mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return mapped(docs.select(text_or_empty().alias("text")), _counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 class Gru:
@@ -350,7 +350,7 @@ def learn(docs: DataFrame, known: int = KNOWN) -> tuple[DataFrame, Scale, Gru]:
 def score(docs: DataFrame, table_of: DataFrame, scale: Scale, net: Gru) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text)."""
     sc = docs.sparkSession.sparkContext
-    rows = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_scorer(sc.broadcast(scale), sc.broadcast(net)), SCORED)
+    rows = mapped(docs.select("doc_id", text_or_empty().alias("text")), _scorer(sc.broadcast(scale), sc.broadcast(net)), SCORED)
     rows = written(rows)
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("n"))
     found = rare.join(table_of, "word").groupBy("row").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_log"))

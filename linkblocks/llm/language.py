@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import table
+from .common import mapped, table
 
 WINDOW, FILTERS, WIDTHS = 128, 16, (2, 3, 4)
 PER_LANG, PER_TEXT = 400, 4
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, langs: list[str], net: Net | None) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of docs (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), text.rlike(r"\p{L}").alias("letters"))
-    return rows.mapInArrow(_predictor(langs, net), "doc_id long, lang_pred string, score double")
+    return mapped(rows, _predictor(langs, net), "doc_id long, lang_pred string, score double")
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

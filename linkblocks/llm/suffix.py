@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import hinted, table, text_or_empty, written
+from .common import hinted, mapped, table, text_or_empty, written
 
 LENGTH, GRAM = 400, 64
 #: Grams of a window.
@@ -229,7 +229,7 @@ def _removed(batches):
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, th, begin, end): stretches of bytes that repeated windows cover, overlapping ones not merged. th is the hash of the text."""
     named = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    found = written(named.mapInArrow(_anchored, ANCHORS))
+    found = written(mapped(named, _anchored, ANCHORS))
     # the hash of the whole takes in its length, and equal stretches have their anchors at one place
     kind = ["whole", "gram"]
     row = F.struct("doc_id", "th", "low", "high", "place")
@@ -243,8 +243,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     lists = written(wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "low", "high", "place")).alias("wanted")))
     pieces = named.join(hinted(lists, 200_000), ["doc_id", "th"]).select("doc_id", "th", "text", "wanted")
     # rows repeated under one id and text are one here: their stretches aren't of those that occur once
-    pieces = pieces.mapInArrow(_cut, "gram long, doc_id long, th long, low long, place long, piece binary").dropDuplicates(["gram", "doc_id", "th", "low"])
-    parts = pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(_ordered, "doc_id long, th long, begin long, end long")
+    pieces = mapped(pieces, _cut, "gram long, doc_id long, th long, low long, place long, piece binary").dropDuplicates(["gram", "doc_id", "th", "low"])
+    parts = mapped(pieces.repartition("gram").sortWithinPartitions("gram"), _ordered, "doc_id long, th long, begin long, end long")
     return whole.unionByName(parts)
 
 
@@ -253,7 +253,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     runs = repeats(docs).groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", "end")).alias("runs"))
     both = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(runs, ["doc_id", "th"], "left").select("doc_id", "text", "runs")
-    return both.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return mapped(both, _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
