@@ -32,16 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import table, text_or_empty
+from .common import mapped, table, text_or_empty
 
 MARK = "▁"
 #: What words are cut at. Not the carriage return: pieces may hold it.
 CUTS = W.SPACE.copy()
 CUTS[13] = False
 START, NONE = -2, -1
-CACHED = 400_000
-#: Bytes of text in numpy at once: more words then are looked up once.
-STEP = 2 << 20
+CACHED = 200_000
+#: Bytes of text in numpy at once.
+STEP = 1 << 19
 
 
 def default_model() -> str:
@@ -207,8 +207,7 @@ class Segmenter:
         self.model = model
         self.pair_key = np.full(1 << 20, -1, np.int64)
         self.pair_ok = np.zeros(1 << 20, bool)
-        self.chars = np.zeros(0x110000, bool)
-        self.chars[[ord(p) for p in model.ids if len(p) == 1]] = True
+        self.chars = {p for p in model.ids if len(p) == 1}
         self.reset()
 
     def reset(self):
@@ -216,37 +215,53 @@ class Segmenter:
         self.flat, self.at = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
         self.n = 0
 
-    def add(self, key: int, ids) -> int:
-        a = self.at[self.n]
+    def add(self, key, ids) -> int:
+        return self.add_all([key], np.asarray(ids, np.int64), np.array([0, len(ids)]))
+
+    def add_all(self, keys: list, ids: np.ndarray, ends: np.ndarray) -> int:
+        """Entries of keys, ids[ends[i] : ends[i + 1]] each; returns the number of the first."""
+        a, first = self.at[self.n], self.n
         while a + len(ids) > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-        if self.n + 2 > len(self.at):
+        while first + len(keys) + 1 > len(self.at):
             self.at = np.r_[self.at, np.zeros_like(self.at)]
         self.flat[a : a + len(ids)] = ids
-        self.n += 1
-        self.at[self.n] = a + len(ids)
-        self.entry[key] = self.n - 1
-        return self.n - 1
-
-    def segment(self, texts: list[str]) -> list[np.ndarray]:
-        """Pieces of words of characters that have pieces, a space mark at most at their beginning."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
-        by: dict[int, list[int]] = {}
-        for i, t in enumerate(texts):
-            by.setdefault(len(t), []).append(i)
-        for n, which in by.items():
+        self.n += len(keys)
+        self.at[first + 1 : self.n + 1] = a + ends[1:]
+        self.entry.update(zip(keys, range(first, self.n), strict=True))
+        return first
+
+    def segment(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of all words in their order, and where each word's begin; words are of characters that have pieces, with a space mark at most at their beginning."""
+        size = np.array([len(t) for t in texts], np.int64)
+        order = np.argsort(size, kind="stable")
+        parts, counts, rows = [], [], []
+        cut = np.flatnonzero(np.r_[True, np.diff(size[order]) > 0]) if len(order) else np.zeros(0, np.int64)
+        for i, j in zip(cut, np.r_[cut[1:], len(order)], strict=True):
+            n = int(size[order[i]])
             if not n:
                 continue
             # long words one by one where a batch of them would be large
             step = max(1, 2_000_000 // n)
-            for k in range(0, len(which), step):
-                part = which[k : k + step]
-                points = np.frombuffer("".join(texts[i] for i in part).encode("utf-32-le"), np.uint32).reshape(len(part), n)
-                for i, ids in zip(part, self._viterbi(points), strict=True):
-                    out[i] = ids
-        return out
-
-    def _viterbi(self, points: np.ndarray) -> list[np.ndarray]:
+            for k in range(i, j, step):
+                which = order[k : min(k + step, j)]
+                points = np.frombuffer("".join([texts[x] for x in which]).encode("utf-32-le"), np.uint32).reshape(len(which), n)
+                ids, count = self._viterbi(points)
+                parts.append(ids)
+                counts.append(count)
+                rows.append(which)
+        length = np.zeros(len(texts), np.int64)
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        flat, count, row = np.concatenate(parts), np.concatenate(counts), np.concatenate(rows)
+        length[row] = count
+        ends = np.r_[0, np.cumsum(length)]
+        out = np.zeros(len(flat), np.int64)
+        heads = np.cumsum(count) - count
+        out[np.repeat(ends[row] - heads, count) + np.arange(len(flat))] = flat
+        return out, ends
+
+    def _viterbi(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m, (rows, n) = self.model, points.shape
         sums, (_, q) = _steps(points), W.powers(n + 1)
         best = np.full((rows, n + 1), -np.inf)
@@ -289,11 +304,11 @@ class Segmenter:
         out[other[ok]] = 1
         return out
 
-    def word(self, text: str) -> tuple[list[str], list]:
+    def mixed(self, text: str) -> tuple[list[str], list]:
         """The parts of a word between characters without a piece, and how to put their pieces together."""
         parts, plan, cur = [], [], ""
         for i, c in enumerate(text):
-            if self.chars[ord(c)] and not (c == MARK and i):
+            if c in self.chars and not (c == MARK and i):
                 cur += c
             else:
                 if cur:
@@ -306,6 +321,20 @@ class Segmenter:
             parts.append(cur)
         return parts, plan
 
+    def words(self, keys: list, texts: list[str]) -> np.ndarray:
+        """Adds words and returns their entries."""
+        known = self.chars.issuperset
+        plain = np.array([known(t) and t.rfind(MARK) < 1 for t in texts], bool)
+        out = np.zeros(len(texts), np.int64)
+        k = np.flatnonzero(plain)
+        ids, ends = self.segment([texts[i] for i in k])
+        out[k] = self.add_all([keys[i] for i in k], ids, ends) + np.arange(len(k))
+        for i in np.flatnonzero(~plain):
+            parts, plan = self.mixed(texts[i])
+            ids, ends = self.segment(parts)
+            out[i] = self.add(keys[i], np.concatenate([ids[ends[x] : ends[x + 1]] if isinstance(x, int) else x for x in plan]))
+        return out
+
     def gap(self, gap: bytes, joined: bool) -> list[int]:
         """Pieces of white space; joined: the last space belongs to the word behind it."""
         m, out = self.model, []
@@ -320,7 +349,8 @@ class Segmenter:
         return self.model.run(n)
 
 
-def _walk(last: np.ndarray, back: np.ndarray, rows: int, n: int) -> list[np.ndarray]:
+def _walk(last: np.ndarray, back: np.ndarray, rows: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of all rows one after the other, and their numbers."""
     j = np.full(rows, n)
     steps, alive = [], np.arange(rows)
     while len(alive):
@@ -330,7 +360,7 @@ def _walk(last: np.ndarray, back: np.ndarray, rows: int, n: int) -> list[np.ndar
     row = np.concatenate([x for x, _ in steps])[::-1]
     piece = np.concatenate([x for _, x in steps])[::-1]
     order = np.argsort(row, kind="stable")
-    return np.split(piece[order], np.cumsum(np.bincount(row, minlength=rows))[:-1])
+    return piece[order], np.bincount(row, minlength=rows)
 
 
 def ragged(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -368,17 +398,9 @@ def encode_rows(seg: Segmenter, data: np.ndarray, at: np.ndarray) -> tuple[np.nd
     entry = np.array([seg.entry.get(k, -1) for k in some_keys.tolist()], np.int64).reshape(-1)
     new = np.flatnonzero(entry < 0)
     if len(new):
-        raw = data.tobytes()
-        parts, plans = [], []
-        for k in new:
-            i = one[k]
-            p, plan = seg.word((MARK if spaced[i] else "") + raw[starts[i] : ends[i]].decode())
-            plans.append([x + len(parts) if isinstance(x, int) else x for x in plan])
-            parts += p
-        done = seg.segment(parts)
-        for k, plan in zip(new, plans, strict=True):
-            ids = done[plan[0]] if len(plan) == 1 and isinstance(plan[0], int) else np.concatenate([done[x] if isinstance(x, int) else x for x in plan])
-            entry[k] = seg.add(int(some_keys[k]), ids)
+        raw, i = data.tobytes(), one[new]
+        texts = [(MARK if s else "") + raw[a:b].decode() for s, a, b in zip(spaced[i].tolist(), starts[i].tolist(), ends[i].tolist(), strict=True)]
+        entry[new] = seg.words(some_keys[new].tolist(), texts)
     word_entry = entry[inverse.reshape(-1)]
     # a space that stays alone is part of the run before it
     alone = spaced & (seg.flat[seg.at[word_entry]] == seg.model.ids[MARK])
@@ -464,7 +486,7 @@ def encode(docs: DataFrame, model_path: str | None = None, keep_ids: bool = True
     """
     path = model_path or default_model()
     schema = f"doc_id long, n_pieces long, {'ids array<int>, ' if keep_ids else ''}ids_sha256 string, decoded_sha256 string, same boolean"
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_coder((path, load(path)), keep_ids), schema)
+    return mapped(docs.select("doc_id", text_or_empty().alias("text")), _coder((path, load(path)), keep_ids), schema)
 
 
 def op9_sentencepiece(spark, sf_dir: str) -> DataFrame:
