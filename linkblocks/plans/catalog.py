@@ -557,7 +557,5 @@ def autoencoder_neighbors(spark, sf) -> DataFrame:
 
 @query()
 def attribute_clustering(spark, sf) -> DataFrame:
-    left, right, *_ = _graph(spark, sf)
-    small = lambda f: f.with_df(f.df.where(F.col("relation") == "name"))
-    nations = lambda f: f.with_df(f.df.where(F.col("head").rlike("^[nr]")))
-    return AttributeClusteringTokenBlocker(text_encoder=E.AverageEncoder(size=8), min_cluster_size=2).assign(small(nations(left)), small(nations(right))).sizes()
+    left, right = (I.graph_places(spark, sf, side) for side in (0, 1))
+    return AttributeClusteringTokenBlocker(text_encoder=E.AverageEncoder(size=8), min_cluster_size=2).assign(left, right).sizes()

@@ -70,6 +70,16 @@ def graph_relations(spark, sf, side: int) -> DataFrame:
     return own.unionByName(up)
 
 
+def graph_places(spark, sf, side: int) -> TripleFrame:
+    """All entities of the graph with attributes of few values: segments, names of nations and regions, and of the one each entity lies in."""
+    own = graph_attributes(spark, sf, side)
+    names = own.df.where(F.col("relation") == "name").select(F.col("head").alias("place"), F.col("tail").alias("name"))
+    near = graph_relations(spark, sf, side).join(names, F.col("tail") == F.col("place")).select("head", "relation", F.col("name").alias("tail"))
+    # a customer's or supplier's own name is another for each
+    few = own.df.where((F.col("relation") != "name") | ~F.col("head").rlike("^[cs]"))
+    return own.with_df(few.unionByName(near))
+
+
 _NAMES = "select 'n' || n_nationkey as head, 'name' as relation, n_name as tail from nation union all select 'r' || r_regionkey, 'name', r_name from region"
 GRAPH = f"""a0 as (select 'c' || c_custkey as head, 'name' as relation, c_name as tail from customer union all select 'c' || c_custkey, 'segment', c_mktsegment from customer union all {_NAMES}),
 a1 as (select 's' || s_suppkey as head, 'name' as relation, s_name as tail from supplier union all {_NAMES}),
