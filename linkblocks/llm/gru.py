@@ -5,9 +5,10 @@ come from all training texts. The model predicts symbols: the end, the ``SYMBOLS
 most frequent words, and one for all other words, whose probability then is split
 by count plus one, with one share for words never seen. The output softmax is
 factored: a class first, then a symbol of that class. Training is truncated
-back-propagation in numpy on the driver over a bounded sample of training texts
-(``SAMPLE`` texts chosen by a hash of their ids, at most ``SAMPLE_TOKENS`` tokens);
-what the counts gather grows with the corpus. Texts are scored whole: they are
+back-propagation in numpy over all training texts: a hash deals them to groups, as
+many as the corpus needs, and to ``ROUNDS``; the first group's first share, some
+``PART`` tokens, starts the network, then in each round all groups train on from one
+network and their parameters are averaged by tokens. Texts are scored whole: they are
 laid into lanes that advance together, and each lane's state is carried from
 window to window until its text ends.
 
@@ -25,7 +26,6 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +37,8 @@ from .language import fold_is
 FOLDS, HELD_OUT = 7, 2
 SYMBOLS, CLASS_SIZE, STATE = 510, 16, 16
 KNOWN = 1 << 18
-SAMPLE, SAMPLE_TOKENS = 600, 300_000
+#: Tokens of a group in a round, about, and rounds
+PART, ROUNDS = 1_000_000, 2
 LANES, STEPS, POOL = 512, 64, 3_000_000
 END, OTHER = 0, 1
 
@@ -90,6 +91,13 @@ class Gru:
     def parameters(self) -> list[np.ndarray]:
         return [self.x, self.u, self.b, self.cw, self.cb, self.ww, self.wb]
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.parameters()])
+
+    def load(self, flat: np.ndarray) -> None:
+        for p, part in zip(self.parameters(), np.split(flat, np.cumsum([p.size for p in self.parameters()])[:-1]), strict=True):
+            p[...] = part.reshape(p.shape)
+
     def step(self, h: np.ndarray, x: np.ndarray):
         k = h.shape[1]
         g = h @ self.u
@@ -141,17 +149,25 @@ class Gru:
         loss = -np.log(p[rows, c])[m].sum()
         p[rows, c] -= 1
         p *= (m / n)[:, None]
-        s = np.einsum("nk,nks->ns", flat, self.ww[c]) + self.wb[c]
-        q = np.exp(s - s.max(1, keepdims=True))
-        q /= q.sum(1, keepdims=True)
-        loss -= np.log(q[rows, w])[m].sum()
-        q[rows, w] -= 1
-        q *= (m / n)[:, None]
         g = [np.zeros_like(x) for x in self.parameters()]
         g[3], g[4] = flat.T @ p, p.sum(0)
-        np.add.at(g[5], c, flat[:, :, None] * q[:, None, :])
-        np.add.at(g[6], c, q)
-        d_out = (p @ self.cw.T + np.einsum("ns,nks->nk", q, self.ww[c])).reshape(out.shape)
+        d_out = p @ self.cw.T
+        order = np.argsort(c, kind="stable")
+        ends = np.searchsorted(c[order], np.arange(len(self.ww) + 1))
+        for j in range(len(self.ww)):
+            some = order[ends[j] : ends[j + 1]]
+            if not len(some):
+                continue
+            at, of = np.arange(len(some)), flat[some]
+            s = of @ self.ww[j] + self.wb[j]
+            q = np.exp(s - s.max(1, keepdims=True))
+            q /= q.sum(1, keepdims=True)
+            loss -= np.log(q[at, w[some]])[m[some]].sum()
+            q[at, w[some]] -= 1
+            q *= (m[some] / n)[:, None]
+            g[5][j], g[6][j] = of.T @ q, q.sum(0)
+            d_out[some] += q @ self.ww[j].T
+        d_out = d_out.reshape(out.shape)
         dh = np.zeros((lanes, k), np.float32)
         dx = np.empty((steps, lanes, 3 * k), np.float32)
         for t in range(steps - 1, -1, -1):
@@ -166,7 +182,9 @@ class Gru:
             g[1] += h0.T @ dg
             dh = (d * z + dg @ self.u.T) * live[t]
         g[2] = dx.sum((0, 1))
-        np.add.at(g[0], inputs, dx)
+        order = np.argsort(inputs.reshape(-1), kind="stable")
+        which, begin = np.unique(inputs.reshape(-1)[order], return_index=True)
+        g[0][which] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], begin)
         return loss / n, g, last
 
 
@@ -201,12 +219,18 @@ def laid_out(symbols: list[np.ndarray], most: int = LANES):
     return x, y, fresh, place, total
 
 
-def train(symbols: list[np.ndarray], n_symbols: int, epochs: int = 3, steps: int = 32, most: int = 48, rate: float = 1e-2) -> Gru:
-    net = Gru(n_symbols)
-    if not symbols:
-        return net
-    x, y, fresh, _, total = laid_out(symbols, most)
-    real = np.arange(len(x))[:, None] < total
+def train(net: Gru, symbols: list[np.ndarray], epochs: int = 1, steps: int = 32, most: int = 64, rate: float = 1e-2) -> int:
+    """Trains the network on texts laid end to end and cut into lanes; the number of tokens."""
+    y = np.concatenate([np.r_[x, END] for x in symbols]).astype(np.int16) if symbols else np.zeros(0, np.int16)
+    size = len(y)
+    if not size:
+        return 0
+    many = int(np.clip(size // 2048, 1, most))
+    fresh = np.r_[True, y[:-1] == END]
+    x = np.where(fresh, END, np.r_[END, y[:-1]])
+    width = -(-size // many)
+    cut = lambda a: np.pad(a, (0, many * width - size)).reshape(many, width).T
+    real, x, y, fresh = cut(np.ones(size, bool)), cut(x), cut(y), cut(fresh)
     m, v, t = ([np.zeros_like(p) for p in net.parameters()] for _ in range(2)), None, 0
     m, v = m
     for _ in range(epochs):
@@ -216,12 +240,13 @@ def train(symbols: list[np.ndarray], n_symbols: int, epochs: int = 3, steps: int
             _, grads, h = net.gradients(h, x[k], y[k], fresh[k], real[k])
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
             t += 1
+            now = rate * max(0.05, 1 - t * steps / (epochs * len(x)))
             for p, g, a, b in zip(net.parameters(), grads, m, v, strict=True):
                 g = g * min(1.0, 1.0 / (norm + 1e-6))
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
-                p -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)
-    return net
+                p -= now * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)
+    return size
 
 
 def score_texts(net: Gru, symbols: list[np.ndarray], most: int = LANES, steps: int = STEPS) -> np.ndarray:
@@ -320,6 +345,62 @@ def _scorer(scale, net):
     return run
 
 
+def _symbols(scale):
+    def run(batches):
+        for batch in batches:
+            data, at = W.utf8(batch.column(1))
+            for i, j in W.chunks(at):
+                h, first = tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                found = scale.value.look_up(h)[0].astype("<i2")
+                texts = [found[first[k] : first[k + 1]].tobytes() for k in range(j - i)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(texts, pa.binary())], ["key", "symbols"])
+
+    return run
+
+
+def _trained(net, epochs: int, rate: float):
+    """The network trained on from net on the texts of a group, and their tokens."""
+    def run(group: pa.Table) -> pa.Table:
+        own = Gru(net.value.symbols)
+        own.load(net.value.flat())
+        group = group.sort_by([("key", "ascending"), ("symbols", "ascending")])
+        n = train(own, [np.frombuffer(t, "<i2") for t in group["symbols"].to_pylist()], epochs, rate=rate)
+        return pa.table({"n": pa.array([n], pa.int64()), "net": pa.array([own.flat().astype("<f4").tobytes()], pa.binary())})
+
+    return run
+
+
+def _added(batches):
+    """One row of a partition's networks, weighted by tokens."""
+    n, total = 0, 0.0
+    for batch in batches:
+        for k, net in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            n, total = n + k, total + k * np.frombuffer(net, "<f4").astype("<f8")
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "net"])
+
+
+def fit(docs: DataFrame, scale: Scale) -> Gru:
+    """The network fitted to all of docs (doc_id, text)."""
+    net = Gru(scale.n_symbols)
+    if not scale.n_texts:
+        return net
+    sc = docs.sparkSession.sparkContext
+    rows = written(mapped(docs.select(F.xxhash64("doc_id", "text").alias("key"), "text"), _symbols(sc.broadcast(scale)), "key long, symbols binary"))
+    rounds = ROUNDS if scale.n > PART else 1
+    groups = max(1, round(scale.n / (PART * rounds)))
+    rows = rows.withColumn("round", F.pmod("key", F.lit(rounds))).withColumn("group", F.pmod(F.floor(F.col("key") / rounds), F.lit(groups)))
+    start = [(F.col("round") + F.col("group") == 0, 3 if rounds == groups == 1 else 1, 1e-2)]
+    for which, epochs, rate in start + ([(F.col("round") == r, 1, 5e-3) for r in range(rounds)] if rounds * groups > 1 else []):
+        task = _trained(sc.broadcast(net), epochs, rate)
+        sums = mapped(rows.where(which).groupBy("group").applyInArrow(task, "n long, net binary"), _added, "n long, net binary").collect()
+        n = sum(r.n for r in sums)
+        if n:
+            net = Gru(scale.n_symbols)
+            net.load(sum(np.frombuffer(r.net, "<f8") for r in sums) / n)
+    return net
+
+
 def learn(docs: DataFrame, known: int = KNOWN) -> tuple[DataFrame, Scale, Gru]:
     """The counts table, and the model fitted to docs (doc_id, text)."""
     docs = docs.select("doc_id", text_or_empty().alias("text"))
@@ -334,17 +415,7 @@ def learn(docs: DataFrame, known: int = KNOWN) -> tuple[DataFrame, Scale, Gru]:
             break
     top = table_of.where(F.col("c") >= cut).toArrow()
     scale = Scale(list(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True)), int(total.n), docs.count(), int(total.v))
-    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = docs.join(F.broadcast(ids), "doc_id").toArrow().sort_by([("doc_id", "ascending")])
-    data, at = W.utf8(pc.cast(sample["text"].combine_chunks(), pa.large_string()))
-    h, first = tokens(data, at)
-    symbols, n = [], 0
-    for k in range(len(first) - 1):
-        symbols.append(scale.look_up(h[first[k] : first[k + 1]])[0])
-        n += len(symbols[-1])
-        if n >= SAMPLE_TOKENS:
-            break
-    return table_of, scale, train(symbols, scale.n_symbols)
+    return table_of, scale, fit(docs, scale)
 
 
 def score(docs: DataFrame, table_of: DataFrame, scale: Scale, net: Gru) -> DataFrame:

@@ -87,3 +87,14 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in G.score(df, *G.learn(df.where("false"))).collect()}
     assert got[1].n_known == 0 and got[1].train_tokens == 0 and math.isfinite(got[1].score)
+
+
+def test_all_texts_train_the_model(spark, monkeypatch):
+    """One long text must not keep the others from the training, nor must more texts than a part holds."""
+    rows = [(0, "x " * 310_000)] + [(i, "a b c d e f " * 40) for i in range(1, 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for part in (1_000_000, 50_000):
+        monkeypatch.setattr(G, "PART", part, raising=False)
+        got = [r for r in G.score(df, *G.learn(df)).collect() if r.doc_id]
+        # each word tells the next one, which the counts don't know
+        assert len(got) == 499 and sum(r.score for r in got) > 0.3 * sum(r.base_score for r in got)
