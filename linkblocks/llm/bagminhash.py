@@ -12,14 +12,17 @@ its process has passed all registers of the text. Registers of two texts then
 agree with the probability sum(min) / sum(max) of their weights.
 
 Bands of registers give buckets. Equal multisets are one candidate. In a bucket
-all are compared with one leader first, each bucket's drawn by a hash. Where a
-bucket then still holds several components, its members get signatures of ``FINE``
+all are compared with one leader, the member with the least draw; the draw depends
+on the member alone, so a group has few leaders over all its buckets and a member
+few pairs. Where a bucket still holds several components, they draw again, as long as
+a round links one in ``WORTH`` of its pairs. What then is apart gets signatures of ``FINE``
 registers, which are compared in numpy, all with all across components, in pairs of
 blocks of ``BLOCK`` members; pairs that agree in ``MAYBE`` of them or more are
-candidates too, the nearest of each text before those that this leaves apart. So
-members of a group aren't paired with each other as rows, and no co-bucketed texts
-of different components stay uncompared. Every link is verified by the exact
-overlap of both multisets.
+candidates too: of a text and another component the nearest pair alone where its
+agreement is beyond doubt, else all; the nearest of each text are verified before
+those that this leaves apart. So members of a group aren't paired with each other as
+rows, and no co-bucketed texts of different components stay uncompared. Every link
+is verified by the exact overlap of both multisets.
 
 Edge cases: null, empty and white-space texts are one class; equal texts always
 are; rows repeated under one id each get a row; extra columns are ignored.
@@ -27,6 +30,8 @@ are; rows repeated under one id each get a row; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,10 +43,15 @@ from .common import hinted, mapped, table, text_or_empty, written
 WORDS, LEAST = 5, 0.8
 #: A pair at 0.8 shares a band with a chance of 0.9996.
 BANDS, ROWS = 34, 7
-#: Registers of the finer signatures of texts that leaders leave apart, and the share of them
-#: that must agree for a pair to be verified: 0.8 less 2.3 standard deviations.
+#: Registers of the finer signatures of texts that leaders leave apart, and the shares of them
+#: that must agree for a pair to be verified, and to be sure of it: 0.8 less and plus 3.5 standard deviations.
 FINE = 1024
-MAYBE, BLOCK = LEAST - 2.3 * (LEAST * (1 - LEAST) / FINE) ** 0.5, 1024
+MAYBE, SURE = (LEAST + k * (LEAST * (1 - LEAST) / FINE) ** 0.5 for k in (-3.5, 3.5))
+BLOCK = 1024
+#: Pairs of one text that meet its copy in a task; a leader of more has several copies.
+FOLLOWERS = 1000
+#: Leaders are drawn again if at least one in so many pairs was a link.
+WORTH = 4
 #: Bytes of text in numpy at once.
 STEP = 1 << 19
 _MULT = W.mix(np.arange(11, 11 + 64, dtype=np.uint64)) | np.uint64(1)
@@ -172,11 +182,14 @@ def _verified(batches):
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose multisets overlap by LEAST or more, with their similarity."""
-    ids = hinted(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = docs.join(ids, "doc_id", "left_semi")
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    """The pairs (a, b) of ids whose multisets overlap by LEAST or more, with their similarity. pairs is a written table; b may be in any number of them."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = docs.join(hinted(written(ids)), "doc_id", "left_semi")
+    # a hot b is dealt out with copies of its text
+    hot = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / FOLLOWERS).alias("copies")).where("copies > 1"))
+    led = pairs.join(hinted(hot), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).alias("copy"))
+    of = texts.join(hinted(hot), texts["doc_id"] == hot["b"], "left").select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    both = led.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(of, ["b", "copy"]).select("a", "b", "text_a", "text_b")
     return mapped(both, _verified, "a long, b long, similarity double")
 
 
@@ -211,18 +224,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marks = written(signed(docs))
     reps = written(marks.groupBy("bag1", "bag2").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("bag1", "bag2", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")))
     keyed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    leader = F.min(F.struct(F.xxhash64("rep", "key").alias("draw"), "rep"))["rep"]
-    buckets = keyed.groupBy("key").agg(leader.alias("leader"), F.count("*").alias("n")).where("n > 1")
-    shared = written(keyed.join(buckets, "key"))
-    first = shared.where("rep != leader").select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
-    links = written(verified(first, docs).select("a", "b"))
-    labels = components(links)
+    shared = written(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    links, labels = None, None
+    for turn in itertools.count():
+        pairs = written(_led(shared, labels, turn))
+        if pairs.isEmpty():
+            break
+        found = written(verified(pairs, docs).select("a", "b"))
+        n = found.count()
+        if n:
+            links = found if links is None else written(links.unionByName(found))
+            labels = components(links)
+        if n * WORTH < pairs.count():
+            break
+    if links is None:
+        links = shared.sparkSession.createDataFrame([], "a long, b long")
+        labels = links.toDF("node", "label")
     second = written(_across(shared, labels, reps, docs))
     final = labels if second.isEmpty() else _joined(links, second, docs)
     classes = reps.join(final, reps["rep"] == final["node"], "left").select("bag1", "bag2", F.coalesce("label", "rep").alias("class_id"))
     return marks.select("doc_id", "bag1", "bag2").join(classes, ["bag1", "bag2"]).select("doc_id", "class_id")
 
 
+def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of shared (key, rep, n, band) with the label of rep."""
+    if labels is None:
+        return shared.select("key", "rep", "n", "band", F.col("rep").alias("label"))
+    return shared.join(labels, shared["rep"] == labels["node"], "left").select("key", "rep", "n", "band", F.coalesce("label", "rep").alias("label"))
+
+
+def _led(shared: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs (a, b) of a member and the leader b of one of its buckets, of different components."""
+    seen = _labelled(shared, labels)
+    leader = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("draw"), "rep", "label")).alias("leader")
+    buckets = seen.groupBy("key").agg(leader, F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key", "leader")
+    return seen.join(buckets, "key").where("label != leader.label").select(F.col("rep").alias("a"), F.col("leader.rep").alias("b")).distinct()
+
+
 def _joined(links: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Labels after the pairs (a, b, near) are verified too: each text's nearest first, then those whose texts are still in different components."""
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("near", "b")).alias("b")).unionByName(pairs.groupBy("b").agg(F.max_by("a", F.struct("near", "a")).alias("a")).select("a", "b"))
@@ -237,10 +275,10 @@ def _joined(links: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b, near) of one bucket and of different components whose registers agree often enough; near is how many do."""
-    seen = shared.join(labels, shared["rep"] == labels["node"], "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"), "band")
+    seen = _labelled(shared, labels)
     split = seen.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
     rest = written(seen.join(split, "key"))
-    ids = hinted(rest.select(F.col("rep").alias("doc_id")).distinct())
+    ids = hinted(written(rest.select(F.col("rep").alias("doc_id")).distinct()))
     fine = mapped(docs.join(ids, "doc_id", "left_semi"), _finely, "doc_id long, registers binary").groupBy("doc_id").agg(F.min("registers").alias("registers"))
     registers = written(fine.join(reps.select(F.col("rep").alias("doc_id"), "bands"), "doc_id"))
     # a member's block meets every block of its bucket: (x, y) with x <= y
@@ -276,16 +314,23 @@ def _block(t: pa.Table) -> pa.RecordBatch:
     two = one if x == y else np.flatnonzero(own == y)
     a, b, c = [], [], []
     keys = t.column(8).combine_chunks().flatten().to_numpy().reshape(len(rep), -1)[:, :band]
-    least = int(np.ceil(MAYBE * regs.shape[1]))
+    least, sure = (int(np.ceil(x * regs.shape[1])) for x in (MAYBE, SURE))
     for i in one:
         other = two[(label[two] != label[i]) & ((rep[two] > rep[i]) | (x != y))]
         # a pair of several buckets is named in the first of them only
         other = other[~(keys[other] == keys[i]).any(1)]
         same = (regs[other] == regs[i]).sum(1)
-        near = other[same >= least]
+        near, same = other[same >= least], same[same >= least]
+        # by component, the nearest first
+        order = np.lexsort((rep[near], -same, label[near]))
+        near, same = near[order], same[order]
+        head = np.r_[True, label[near][1:] != label[near][:-1]][: len(near)]
+        top = same[np.flatnonzero(head)][np.cumsum(head) - 1]
+        keep = head | (top < sure)
+        near, same = near[keep], same[keep]
         a.append(np.maximum(rep[near], rep[i]))
         b.append(np.minimum(rep[near], rep[i]))
-        c.append(same[same >= least])
+        c.append(same)
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, c)], ["a", "b", "near"])
 
 

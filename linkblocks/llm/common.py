@@ -36,9 +36,10 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def hinted(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A narrow table with a broadcast hint if it is counted to be small, and without one beyond that."""
-    return F.broadcast(ids) if ids.count() <= most else ids
+def hinted(rows: DataFrame, most: int = 32 << 20, size: Column | int = 32) -> DataFrame:
+    """A written table with a broadcast hint if its rows have at most so many bytes, and without one beyond that."""
+    held = rows.agg(F.sum(size if isinstance(size, Column) else F.lit(size))).first()[0] or 0
+    return F.broadcast(rows) if held <= most else rows
 
 
 #: Rows are whole documents, so a batch of Spark's usual 10,000 is tens of megabytes on either side.
