@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding by batched Viterbi in numpy.
 
 Texts are cut at white space into words with the space before them; each distinct
-word of a worker is segmented once. New words of equal length advance together
-through the positions: hashes of all substrings are probed in the sorted piece
-keys, and the maximum over the pieces that end at a position stores the
-backpointer. For a unigram model the score of a path is the sum of its pieces.
+word of a worker is segmented once, as long as it is kept. Hashes of all substrings
+of all new words are probed in the sorted piece keys; words of equal length then
+advance together through the positions, and the maximum over the pieces that end at
+a position stores the backpointer. Words of over ``LONG`` characters advance one by
+one, in time that grows with their length. For a unigram model the score of a path is the sum of its pieces.
 For a BPE model, where the sum of scores isn't what decides, a path scores by
 whether each of its neighbouring pieces is one that merging by rank would leave
 side by side; exactly one piece that ends at a position is, so the path is the
@@ -22,6 +23,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import importlib.util
 import itertools
 from dataclasses import dataclass
@@ -39,9 +41,12 @@ MARK = "▁"
 CUTS = W.SPACE.copy()
 CUTS[13] = False
 START, NONE = -2, -1
-CACHED = 200_000
+#: Words kept in a worker; beyond it those that were met again stay, at most half as many.
+CACHED = 400_000
+#: Longest word that advances with others of its length.
+LONG = 255
 #: Bytes of text in numpy at once.
-STEP = 1 << 19
+STEP = 1 << 21
 
 
 def default_model() -> str:
@@ -148,14 +153,23 @@ class Model:
                 out.append(self.ids[MARK * best[n][1]])
                 n -= best[n][1]
             return out[::-1]
-        s = [1] * n
-        while True:
-            can = [(self.scores[self.ids[MARK * (a + b)]], -i) for i, (a, b) in enumerate(itertools.pairwise(s)) if a + b in sizes]
-            if not can:
-                return [self.ids[MARK * k] for k in s]
-            # merges of one score go from left to right, as long as none of a higher one appears
-            i = -max(can)[1]
-            s[i : i + 2] = [s[i] + s[i + 1]]
+        # the best merge first, of equal ones the leftmost
+        size, after, before, alive = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+        score = {k: -float(self.scores[self.ids[MARK * k]]) for k in sizes}
+        can = [(score[2], i, 2) for i in range(n - 1)] if 2 in sizes else []
+        while can:
+            _, i, total = heapq.heappop(can)
+            j = after[i]
+            if not alive[i] or j >= n or size[i] + size[j] != total:
+                continue
+            size[i], alive[j], after[i] = total, False, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (more := total + size[after[i]]) in sizes:
+                    heapq.heappush(can, (score[more], i, more))
+            if before[i] >= 0 and (more := total + size[before[i]]) in sizes:
+                heapq.heappush(can, (score[more], before[i], more))
+        return [self.ids[MARK * k] for k, ok in zip(size, alive, strict=True) if ok]
 
 
 def load(path: str) -> Model:
@@ -181,22 +195,34 @@ def load(path: str) -> Model:
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _steps(points: np.ndarray) -> np.ndarray:
-    """Columns of code points to prefix sums of a polynomial hash."""
-    p, _ = W.powers(points.shape[1] + 1)
-    sums = np.zeros((points.shape[0], points.shape[1] + 1), np.uint64)
-    np.cumsum(W.mix(points.astype(np.uint64) + _A) * p[: points.shape[1]], axis=1, out=sums[:, 1:], dtype=np.uint64)
+_B = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _sums(points: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial hash of code points."""
+    p, _ = W.powers(len(points) + 1)
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(W.mix(points.astype(np.uint64) + _A) * p[: len(points)], out=sums[1:], dtype=np.uint64)
     return sums
 
 
+def _key(sums: np.ndarray, i: np.ndarray, size: int) -> np.ndarray:
+    """Of the substrings of this size that begin at i."""
+    return (sums[i + size] - sums[i]) * W.powers(len(sums))[1][i] + np.uint64(size * int(_A) % (1 << 64))
+
+
+def _points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+
+
 def _text_keys(texts: list[str]) -> np.ndarray:
+    size = np.array([len(t) for t in texts], np.int64)
+    sums, begin = _sums(_points(texts)), np.cumsum(size) - size
     out = np.zeros(len(texts), np.uint64)
-    by: dict[int, list[int]] = {}
-    for i, t in enumerate(texts):
-        by.setdefault(len(t), []).append(i)
-    for n, which in by.items():
-        points = np.array([[ord(c) for c in texts[i]] for i in which], np.uint32).reshape(len(which), n)
-        out[which] = W.mix(_steps(points)[:, n] + np.uint64(n))
+    for n in np.unique(size):
+        out[size == n] = _key(sums, begin[size == n], int(n))
+    if len(np.unique(out)) < len(out):
+        raise AssertionError("two pieces have one key")
     return out
 
 
@@ -208,101 +234,180 @@ class Segmenter:
         self.pair_key = np.full(1 << 20, -1, np.int64)
         self.pair_ok = np.zeros(1 << 20, bool)
         self.chars = {p for p in model.ids if len(p) == 1}
+        self.runs: dict[int, list[int]] = {}
         self.reset()
 
     def reset(self):
-        self.entry: dict[int, int] = {}
-        self.flat, self.at = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        #: where a word may be: its key and entry, by a hash of the key
+        self.slot_key, self.slot_entry = np.zeros(1 << 20, np.uint64), np.full(1 << 20, -1, np.int32)
+        self.gaps: dict = {}
+        self.flat, self.at, self.hits = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.n = 0
 
-    def add(self, key, ids) -> int:
-        return self.add_all([key], np.asarray(ids, np.int64), np.array([0, len(ids)]))
+    def tidy(self):
+        """Keeps of too many entries those that were met again."""
+        if self.n <= CACHED:
+            return
+        slots = np.flatnonzero(self.slot_entry >= 0)
+        entry, key = self.slot_entry[slots].astype(np.int64), self.slot_key[slots]
+        hits = self.hits[entry]
+        keep = np.argsort(-hits, kind="stable")[: CACHED // 2]
+        keep = keep[hits[keep] > 1]
+        flat, ends = ragged(self.flat, self.at, entry[keep])
+        self.reset()
+        first = self.add_all(flat, ends)
+        self.place(key[keep], first + np.arange(len(keep)))
+
+    def place(self, keys: np.ndarray, entries: np.ndarray):
+        slot = (keys * _B >> np.uint64(44)).astype(np.int64)
+        self.slot_key[slot], self.slot_entry[slot] = keys, entries
+
+    def look_up(self, keys: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Entries of words, -1 where there is none."""
+        slot = (keys * _B >> np.uint64(44)).astype(np.int64)
+        out = np.where(self.slot_key[slot] == keys, self.slot_entry[slot], -1).astype(np.int64)
+        ok = out >= 0
+        self.hits[out[ok]] += np.minimum(times[ok], 1 << 20).astype(np.int32)
+        return out
+
+    def add(self, ids) -> int:
+        return self.add_all(np.asarray(ids, np.int64), np.array([0, len(ids)]))
 
-    def add_all(self, keys: list, ids: np.ndarray, ends: np.ndarray) -> int:
-        """Entries of keys, ids[ends[i] : ends[i + 1]] each; returns the number of the first."""
+    def add_all(self, ids: np.ndarray, ends: np.ndarray) -> int:
+        """Entries ids[ends[i] : ends[i + 1]]; returns the number of the first."""
         a, first = self.at[self.n], self.n
         while a + len(ids) > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-        while first + len(keys) + 1 > len(self.at):
-            self.at = np.r_[self.at, np.zeros_like(self.at)]
+        while first + len(ends) > len(self.at):
+            self.at, self.hits = np.r_[self.at, np.zeros_like(self.at)], np.r_[self.hits, np.zeros_like(self.hits)]
         self.flat[a : a + len(ids)] = ids
-        self.n += len(keys)
+        self.n += len(ends) - 1
         self.at[first + 1 : self.n + 1] = a + ends[1:]
-        self.entry.update(zip(keys, range(first, self.n), strict=True))
+        self.hits[first : self.n] = 1
         return first
 
     def segment(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all words in their order, and where each word's begin; words are of characters that have pieces, with a space mark at most at their beginning."""
         size = np.array([len(t) for t in texts], np.int64)
-        order = np.argsort(size, kind="stable")
-        parts, counts, rows = [], [], []
-        cut = np.flatnonzero(np.r_[True, np.diff(size[order]) > 0]) if len(order) else np.zeros(0, np.int64)
-        for i, j in zip(cut, np.r_[cut[1:], len(order)], strict=True):
-            n = int(size[order[i]])
-            if not n:
-                continue
-            # long words one by one where a batch of them would be large
-            step = max(1, 2_000_000 // n)
-            for k in range(i, j, step):
-                which = order[k : min(k + step, j)]
-                points = np.frombuffer("".join([texts[x] for x in which]).encode("utf-32-le"), np.uint32).reshape(len(which), n)
-                ids, count = self._viterbi(points)
-                parts.append(ids)
-                counts.append(count)
-                rows.append(which)
-        length = np.zeros(len(texts), np.int64)
-        if not rows:
+        begin = np.cumsum(size) - size
+        if not size.sum():
             return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-        flat, count, row = np.concatenate(parts), np.concatenate(counts), np.concatenate(rows)
-        length[row] = count
-        ends = np.r_[0, np.cumsum(length)]
-        out = np.zeros(len(flat), np.int64)
-        heads = np.cumsum(count) - count
-        out[np.repeat(ends[row] - heads, count) + np.arange(len(flat))] = flat
-        return out, ends
-
-    def _viterbi(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        m, (rows, n) = self.model, points.shape
-        sums, (_, q) = _steps(points), W.powers(n + 1)
-        best = np.full((rows, n + 1), -np.inf)
-        last = np.full((rows, n + 1), NONE, np.int64)
-        back = np.zeros((rows, n + 1), np.int16)
-        best[:, 0], last[:, 0] = 0, START
-        for j in range(1, n + 1):
-            for size in range(1, min(j, m.longest) + 1):
-                i = j - size
-                key = W.mix((sums[:, j] - sums[:, i]) * q[i] + np.uint64(size))
-                at = np.flatnonzero(m.maybe[(key >> np.uint64(42)).astype(np.int64)] & (last[:, i] != NONE))
-                if not len(at):
-                    continue
-                key = key[at]
-                k = np.minimum(np.searchsorted(m.keys, key), len(m.keys) - 1)
-                hit = m.keys[k] == key
-                at, piece = at[hit], m.of_key[k[hit]]
-                score = self._staying(last[at, i], piece) if m.bpe else best[at, i] + m.scores[piece]
-                more = score > best[at, j]
-                at = at[more]
-                best[at, j], last[at, j], back[at, j] = score[more], piece[more], size
-        if (last[:, n] == NONE).any():
+        at, long, piece = self._probed(_points(texts), size)
+        word = np.searchsorted(begin, at, "right") - 1
+        while_empty = size[word] == 0  # a word without characters begins where the next one does
+        if while_empty.any():
+            some = np.flatnonzero(size)
+            word = some[np.searchsorted(begin[some], at, "right") - 1]
+        last, back = self._advanced(word, at - begin[word], long, piece, size, begin)
+        return self._walked(last, back, size, begin + np.arange(len(size)))
+
+    def _probed(self, points: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, size, piece) of all pieces in words that lie one after the other."""
+        m, sums = self.model, _sums(points)
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(points))  # to the end of the word
+        found = []
+        i = np.arange(len(points))
+        for n in range(1, min(int(size.max()), m.longest) + 1):
+            i = i[left[i] >= n]
+            key = _key(sums, i, n)
+            some = np.flatnonzero(m.maybe[(key >> np.uint64(42)).astype(np.int64)])
+            key = key[some]
+            k = np.minimum(np.searchsorted(m.keys, key), len(m.keys) - 1)
+            hit = m.keys[k] == key
+            found.append((i[some[hit]], np.full(int(hit.sum()), n), m.of_key[k[hit]]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _advanced(self, word, start, long, piece, size, begin):
+        """The last piece and its size at each position of each word; words have a place more than characters."""
+        slots = begin + np.arange(len(size))
+        last = np.full(int(size.sum()) + len(size), NONE, np.int64)
+        back, best = np.zeros(len(last), np.int32), np.full(len(last), -np.inf)
+        last[slots], best[slots] = START, 0
+        short = size[word] <= LONG
+        end = start + long
+        # by length of the word, then by position; larger pieces first, so that of equal ones the smallest is stored last
+        key = (size[word[short]] << 8 | end[short]).astype(np.uint16)
+        order = np.flatnonzero(short)[::-1][np.argsort(key[::-1], kind="stable")]
+        key = np.sort(key, kind="stable")
+        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        base = slots[word]
+        for i, j in itertools.pairwise([*cut.tolist(), len(key)]):
+            k = order[i:j]
+            a, b = last[base[k] + start[k]], piece[k]
+            k, a, b = (x[a != NONE] for x in (k, a, b))
+            to = base[k] + end[k]
+            score = self._staying(a, b) if self.model.bpe else best[base[k] + start[k]] + self.model.scores[b]
+            np.maximum.at(best, to, score)
+            win = (score == best[to]) & (score > -np.inf)
+            last[to[win]], back[to[win]] = b[win], long[k[win]]
+        for w in np.flatnonzero(size > LONG):
+            k = np.flatnonzero(word == w)
+            k = k[np.argsort(start[k], kind="stable")]
+            self._one(last, back, int(slots[w]), int(size[w]), start[k].tolist(), long[k].tolist(), piece[k].tolist())
+        ends = slots + size
+        if (last[ends] == NONE).any():
             raise AssertionError("a word has no segmentation")
-        return _walk(last, back, rows, n)
+        return last, back
+
+    def _one(self, last, back, slot: int, n: int, starts: list[int], sizes: list[int], pieces: list[int]):
+        """The same for one long word, whose pieces are in order of their starts."""
+        bpe, scores, stays = self.model.bpe, self.model.scores, self.model.stays
+        near, size, best = [NONE] * (n + 1), [0] * (n + 1), [-np.inf] * (n + 1)
+        near[0], best[0] = START, 0.0
+        known: dict[tuple[int, int], bool] = {}
+        for i, k, b in zip(starts, sizes, pieces, strict=True):
+            a = near[i]
+            if a == NONE:
+                continue
+            if bpe:
+                if near[i + k] != NONE:
+                    continue
+                ok = a == START or known.get((a, b))
+                if ok is None:
+                    ok = known[a, b] = stays(a, b)
+                if ok:
+                    near[i + k], size[i + k] = b, k
+            elif best[i] + scores[b] > best[i + k]:
+                best[i + k], near[i + k], size[i + k] = best[i] + scores[b], b, k
+        last[slot : slot + n + 1], back[slot : slot + n + 1] = near, size
+
+    def _walked(self, last, back, size, slots) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of all words one after the other, and where each word's begin."""
+        place, alive, steps = size.copy(), np.flatnonzero(size), []
+        while len(alive) > 64:
+            here = slots[alive] + place[alive]
+            steps.append((alive, last[here]))
+            place[alive] -= back[here]
+            alive = alive[place[alive] > 0]
+        for w in alive:  # a few long ones
+            slot, j, found = int(slots[w]), int(place[w]), []
+            pieces, sizes = last[slot : slot + j + 1].tolist(), back[slot : slot + j + 1].tolist()
+            while j:
+                found.append(pieces[j])
+                j -= sizes[j]
+            steps.append((np.full(len(found), w), np.array(found, np.int64)))
+        word, piece = (np.concatenate(x) for x in zip(*steps, strict=True))
+        count = np.bincount(word, minlength=len(size))
+        ends = np.r_[0, np.cumsum(count)]
+        # pieces were found from the last one of each word on
+        order = np.argsort(word, kind="stable")
+        out = np.empty(len(word), np.int64)
+        w = word[order]
+        out[ends[w] + ends[w + 1] - 1 - np.arange(len(w))] = piece[order]
+        return out, ends
 
     def _staying(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """1 where piece b may follow a, else -inf."""
-        out = np.full(len(a), -np.inf)
-        out[a == START] = 1
-        other = np.flatnonzero(a != START)
-        key = a[other] << 32 | b[other]
-        slot = (W.mix(key.astype(np.uint64)) >> np.uint64(44)).astype(np.int64)
-        new = self.pair_key[slot] != key
+        key = a << 32 | b
+        slot = (key.astype(np.uint64) * _B >> np.uint64(44)).astype(np.int64)
         ok = self.pair_ok[slot]
+        new = (self.pair_key[slot] != key) & (a != START)
         if new.any():
             some, inverse = np.unique(key[new], return_inverse=True)
-            found = np.array([self.model.stays(int(x >> 32), int(x & 0xFFFFFFFF)) for x in some])
+            found = np.array([self.model.stays(x >> 32, x & 0xFFFFFFFF) for x in some.tolist()])
             ok[new] = found[inverse]
             self.pair_key[slot[new]], self.pair_ok[slot[new]] = key[new], ok[new]
-        out[other[ok]] = 1
-        return out
+        return np.where(ok | (a == START), 1, -np.inf)
 
     def mixed(self, text: str) -> tuple[list[str], list]:
         """The parts of a word between characters without a piece, and how to put their pieces together."""
@@ -321,18 +426,20 @@ class Segmenter:
             parts.append(cur)
         return parts, plan
 
-    def words(self, keys: list, texts: list[str]) -> np.ndarray:
+    def words(self, keys: np.ndarray, texts: list[str]) -> np.ndarray:
         """Adds words and returns their entries."""
         known = self.chars.issuperset
         plain = np.array([known(t) and t.rfind(MARK) < 1 for t in texts], bool)
         out = np.zeros(len(texts), np.int64)
         k = np.flatnonzero(plain)
-        ids, ends = self.segment([texts[i] for i in k])
-        out[k] = self.add_all([keys[i] for i in k], ids, ends) + np.arange(len(k))
-        for i in np.flatnonzero(~plain):
-            parts, plan = self.mixed(texts[i])
-            ids, ends = self.segment(parts)
-            out[i] = self.add(keys[i], np.concatenate([ids[ends[x] : ends[x + 1]] if isinstance(x, int) else x for x in plan]))
+        out[k] = self.add_all(*self.segment([texts[i] for i in k])) + np.arange(len(k))
+        rest = [(i, *self.mixed(texts[i])) for i in np.flatnonzero(~plain)]
+        ids, ends = self.segment([x for _, parts, _ in rest for x in parts])
+        first = 0
+        for i, parts, plan in rest:
+            out[i] = self.add(np.concatenate([ids[ends[first + x] : ends[first + x + 1]] if isinstance(x, int) else x for x in plan]))
+            first += len(parts)
+        self.place(keys, out)
         return out
 
     def gap(self, gap: bytes, joined: bool) -> list[int]:
@@ -346,21 +453,11 @@ class Segmenter:
         return out
 
     def run(self, n: int) -> list[int]:
-        return self.model.run(n)
-
-
-def _walk(last: np.ndarray, back: np.ndarray, rows: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of all rows one after the other, and their numbers."""
-    j = np.full(rows, n)
-    steps, alive = [], np.arange(rows)
-    while len(alive):
-        steps.append((alive, last[alive, j[alive]]))
-        j[alive] -= back[alive, j[alive]]
-        alive = alive[j[alive] > 0]
-    row = np.concatenate([x for x, _ in steps])[::-1]
-    piece = np.concatenate([x for _, x in steps])[::-1]
-    order = np.argsort(row, kind="stable")
-    return piece[order], np.bincount(row, minlength=rows)
+        if n > 4096:
+            return self.model.run(n)
+        if n not in self.runs:
+            self.runs[n] = self.model.run(n)
+        return self.runs[n]
 
 
 def ragged(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -372,8 +469,7 @@ def ragged(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndar
 
 def encode_rows(seg: Segmenter, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pieces of the rows, and where each row begins."""
-    if seg.n > CACHED:
-        seg.reset()
+    seg.tidy()
     n_rows = len(at) - 1
     some = np.diff(at) > 0
     data = np.insert(data, at[:-1][some], 32)  # the space before each text
@@ -394,13 +490,13 @@ def encode_rows(seg: Segmenter, data: np.ndarray, at: np.ndarray) -> tuple[np.nd
     spaced[ok] = (data[starts[ok] - 1] == 32) & (starts[ok] > at[gap_row[word_slot[ok]]])
     # words
     key = W.hashes(data, starts, ends) ^ np.where(spaced, np.uint64(1), np.uint64(0)) * _A
-    some_keys, one, inverse = np.unique(key, return_index=True, return_inverse=True)
-    entry = np.array([seg.entry.get(k, -1) for k in some_keys.tolist()], np.int64).reshape(-1)
+    some_keys, one, inverse, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    entry = seg.look_up(some_keys, times)
     new = np.flatnonzero(entry < 0)
     if len(new):
         raw, i = data.tobytes(), one[new]
         texts = [(MARK if s else "") + raw[a:b].decode() for s, a, b in zip(spaced[i].tolist(), starts[i].tolist(), ends[i].tolist(), strict=True)]
-        entry[new] = seg.words(some_keys[new].tolist(), texts)
+        entry[new] = seg.words(some_keys[new], texts)
     word_entry = entry[inverse.reshape(-1)]
     # a space that stays alone is part of the run before it
     alone = spaced & (seg.flat[seg.at[word_entry]] == seg.model.ids[MARK])
@@ -410,17 +506,18 @@ def encode_rows(seg: Segmenter, data: np.ndarray, at: np.ndarray) -> tuple[np.nd
     size = g1 - g0
     gap_entry = np.full(len(gap_row), -1, np.int64)
     trivial = (size == 0) | ((size == 1) & joined)
-    nothing = seg.entry.get("", -1)
-    if nothing < 0:
-        nothing = seg.add("", [])
-    gap_entry[trivial] = nothing
+    if "" not in seg.gaps:
+        seg.gaps[""] = seg.add([])
+    gap_entry[trivial] = seg.gaps[""]
     raw = None
     for k in np.flatnonzero(~trivial):
         raw = raw or data.tobytes()
         name = (raw[g0[k] : g1[k]], bool(joined[k]))
-        e = seg.entry.get(name, -1)
+        e = seg.gaps.get(name, -1)
         if e < 0:
-            e = seg.add(name if len(name[0]) < 64 else "long gap", seg.gap(*name))
+            e = seg.add(seg.gap(*name))
+            if len(name[0]) < 64:
+                seg.gaps[name] = e
         gap_entry[k] = e
     # gap, word, gap, word ... gap
     items = np.arange(len(gap_row)) + np.r_[0, np.cumsum(np.bincount(word_slot, minlength=len(gap_row)))][:-1]

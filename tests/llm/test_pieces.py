@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -58,3 +59,27 @@ def test_query_rows(spark):
     rows = P.encode(df).collect()
     assert len(rows) == len(TEXTS) + 3 and all(r.same and r.n_pieces == len(r.ids) for r in rows)
     assert P.encode(df.limit(0)).count() == 0
+
+
+def test_long_words_and_spaces_take_seconds(model):
+    r = random.Random(9)
+    lib = sentencepiece.SentencePieceProcessor(model_file=P.default_model())
+    seg = P.Segmenter(model)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/") for _ in range(200_000)), "a" + " " * 200_000 + "b", "".join(r.choice("日本語中国的一是在") for _ in range(50_000)), "y" * 100_000, "q " * 100_000]
+    began = time.process_time()
+    ids, at = P.encode_rows(seg, *W.utf8(pa.array(texts)))
+    assert time.process_time() - began < 30
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == lib.encode(t)
+
+
+def test_words_kept_are_few_and_right(model, monkeypatch):
+    monkeypatch.setattr(P, "CACHED", 200)
+    r = random.Random(4)
+    seg = P.Segmenter(model)
+    lib = sentencepiece.SentencePieceProcessor(model_file=P.default_model())
+    for _ in range(20):
+        texts = [" ".join("".join(r.choice("abcde") for _ in range(r.randrange(1, 5))) for _ in range(80)) for _ in range(4)]
+        ids, at = P.encode_rows(seg, *W.utf8(pa.array(texts)))
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(4)] == [lib.encode(t) for t in texts]
+    assert seg.n < 1000
