@@ -11,8 +11,8 @@ def test_concat(spark):
     df = spark.createDataFrame([("v", None, "1"), (" x ", 5, "2")], "wc1 string, wc2 int, id string")
     assert {r.id: r.text for r in X.concat_wide(df, "id").collect()} == {"1": "v", "2": "x  5"}
     left, right = triples(spark)
-    assert {r.id: set(r.text.split()) for r in right.texts().collect()}["b1"] == {"John", "McExample", "11-12-1973"}
-    assert {r.id: r.text for r in wide(spark)[0].texts().collect()}["a4"] == "Nushi Devi 14-03-1990 India"
+    assert {r.id: set(r.text.split()) for r in right.texts().collect()}["b1"] == {"Harbor", "Lights", "1999-03-21"}
+    assert {r.id: r.text for r in wide(spark)[0].texts().collect()}["a4"] == "Marble Fox 2015-01-30 Ghana fable"
 
 
 def test_tokens_and_grams(spark):
