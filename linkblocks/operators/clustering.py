@@ -36,16 +36,22 @@ def labelled_texts(triples: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 class ClusteringBlocker(Blocker):
-    """Distinct values to vectors to clusters of both sides; labels stand for values in the text blocker."""
+    """Distinct values to vectors to clusters of both sides; labels stand for values in the text blocker.
 
-    def __init__(self, blocker: TextBlocker, text_encoder: Encoder | str | None = None, noise: str = "keep", compat: bool = False, save_dir: str | None = None, **clustering):
+    ``given``: labels (value, label) found elsewhere, such as those kept in a ``save_dir``; nothing is clustered then.
+    """
+
+    def __init__(self, blocker: TextBlocker, text_encoder: Encoder | str | None = None, noise: str = "keep", compat: bool = False, save_dir: str | None = None, given: DataFrame | None = None, **clustering):
         self.blocker, self.encoder, self.noise, self.compat, self.save_dir, self.options = blocker, encoder(text_encoder), noise, compat, save_dir, clustering
+        self.given = given
 
     def values(self, triples: DataFrame) -> DataFrame:
         """(head, relation, tail) whose tails are clustered."""
         return triples.where("tail is not null")
 
     def labels(self, left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+        if self.given is not None:
+            return (handle_noise(self.given, self.noise, self.compat),) * 2
         distinct = lambda t: t.select(F.col("tail").alias("id"), F.col("tail").alias("text")).distinct()
         vectors = self.encoder.encode(distinct(left), distinct(right))
         found = clustered(*vectors, **self.options)

@@ -139,3 +139,9 @@ def name_pairs(left: DataFrame, right: DataFrame, n_left: DataFrame, n_right: Da
         return rows.where("tail is not null").groupBy("tail").agg(F.count("*").alias("k"), F.min("head").alias("head")).where("k = 1").select("tail", "head")
 
     return once(left, n_left).withColumnRenamed("head", "left_id").join(once(right, n_right).withColumnRenamed("head", "right_id"), "tail").select("left_id", "right_id", "tail")
+
+
+def filtered_neighbor_blocks(left: EntityFrame, right: EntityFrame, left_rel: DataFrame, right_rel: DataFrame, blocker, n: int, top_names: int | None = None):
+    """Blocks of a text blocker over filtered neighbour texts; importance counts each side's own entities."""
+    texts = [filtered_neighbor_texts(f.triples(), r, count_entities(f.triples(), r), n, top_names=top_names) for f, r in ((left, left_rel), (right, right_rel))]
+    return blocker.assign_texts(*texts, left.name, right.name)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..blocks import BlockSet
 from ..functions import text as X
+from ..functions.lineage import settled
 from ..model import EntityFrame
 from .base import Blocker
 
@@ -40,21 +41,25 @@ class QgramsBlocker(StandardBlocker):
 class SortedNeighborhoodBlocker(StandardBlocker):
     """Both sides sorted by the key together; every ``window`` neighbours are a block.
 
-    Positions come from a range of key prefixes: rows are ranked within a prefix
-    and offset by the sizes of the prefixes before it, so no task sorts all rows.
+    Rows are dealt to tasks by ranges of key, side and id, ranked within a range and
+    offset by the sizes of the ranges before it, so no task sorts all rows, whatever
+    keys they have. The ranges are settled once: they must not be drawn anew.
     """
 
-    def __init__(self, blocking_key: str, window: int = 3, prefix: int = 2):
+    def __init__(self, blocking_key: str, window: int = 3):
         super().__init__(blocking_key)
-        self.window, self.prefix = window, prefix
+        self.window = window
 
     def assign(self, left, right, left_rel=None, right_rel=None) -> BlockSet:
         tagged = lambda s, side: self.keys(s).withColumn("side", F.lit(side))
-        rows = tagged(left, 0).unionByName(tagged(right, 1)).withColumn("part", F.substring("block_id", 1, self.prefix))
+        order = ["block_id", "side", "entity_id"]
+        rows = tagged(left, 0).unionByName(tagged(right, 1)).withColumn("entity_id", F.col("entity_id").cast("string"))
+        rows = settled(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+        # one row a range
         sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
         offset = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))
-        rank = F.row_number().over(Window.partitionBy("part").orderBy("block_id", "side", F.col("entity_id").cast("string")))
-        placed = rows.withColumn("rank", rank).join(offset, "part").select("side", "entity_id", (F.col("rank") + F.col("offset")).alias("at"))
+        rank = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+        placed = rows.withColumn("rank", rank).join(F.broadcast(offset), "part").select("side", "entity_id", (F.col("rank") + F.col("offset")).alias("at"))
         starts = F.sequence(F.greatest(F.col("at") - self.window + 1, F.lit(1).cast("long")), F.col("at"))
         member = placed.select("side", "entity_id", F.explode(starts).alias("block_id"))
         side = lambda k: member.where(F.col("side") == k).select("block_id", "entity_id")

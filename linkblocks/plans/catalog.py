@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..blocks import BlockSet
 from ..functions import text as X
-from ..metrics import compare_many, dice, evaluate, gold_hits
+from ..metrics import dice, evaluate, gold_hits
 from ..model import EntityFrame, gold_from_clusters
 from ..operators import graph as G
 from ..operators.clustering import AttributeClusteringTokenBlocker, handle_noise
@@ -428,17 +428,6 @@ def compare_blocks_dice(spark, sf) -> DataFrame:
     return spark.createDataFrame([(a.count(), b.count(), dice(a, b), both)], "first long, second long, dice double, joined_tp long")
 
 
-@query()
-def multi_comparison(spark, sf) -> DataFrame:
-    from ..metrics import Evaluation
-
-    gold, d = I.exact_copies(spark, sf), I.read(spark, sf, "documents")
-    n = d.count()
-    made = {k: Evaluation.from_blocks(doc_blocks(spark, sf, X.Tokenizer(min_length=k)), gold, (n + 1) // 2, n // 2) for k in (3, 6, 9)}
-    rows = compare_many({f"token{k}": e for k, e in made.items()}, ["recall", "precision"])
-    return spark.createDataFrame([(r["base"], r["other"], r["dice_tp"], r["improvement_recall"], r["improvement_precision"]) for r in rows], "base string, other string, dice_tp double, improvement_recall double, improvement_precision double")
-
-
 @query("select cast(a.doc_id as varchar) as en, cast(b.doc_id as varchar) as other from documents a join documents b on a.source = b.source and a.n_chars = b.n_chars where a.lang = 'en' and b.lang <> 'en'")
 def gold_from_clusters_query(spark, sf) -> DataFrame:
     d = I.read(spark, sf, "documents").select(F.struct("source", "n_chars").alias("cluster_id"), F.when(F.col("lang") == "en", "en").otherwise("other").alias("source"), F.col("doc_id").cast("string").alias("id"))
