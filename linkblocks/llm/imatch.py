@@ -14,8 +14,8 @@ so its size is at most the mean number of distinct terms of a document over
 
 Edge cases: a null text is empty; a text without a term in any subset has the
 digest of the whole text as its fingerprint, which is alike (1.0) only to itself;
-rows with the same id and text give one row; where rows with one id have other
-texts, the least in byte order is what its predecessor borrows from; an only
+repeated rows each get a row; where rows with one id have other texts, the least in
+byte order is what its predecessor borrows from; rows without an id give none; an only
 document is its own successor; extra columns are ignored.
 """
 
@@ -32,7 +32,6 @@ SUBSETS = 16
 #: Subset k keeps each term with a chance of 2 ** -SHIFTS[k % 4].
 SHIFTS = (4, 5, 6, 7)
 MOST = 500_000
-BUCKET = 512
 NONE = "-"
 
 
@@ -57,18 +56,16 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, subsets: int
 def successors(ids: DataFrame) -> DataFrame:
     """(doc_id, next_id) of distinct ids in ascending order, the last one's next being the first.
 
-    Ids are dealt by ranges of BUCKET, and those by ranges of BUCKET again, so a
-    window over all rows only sees one row for each BUCKET**2 ids.
+    Ids are dealt to tasks by ranges, which are written so that they are drawn once;
+    the next one is found within a range, or else it is the first of the range behind
+    it. A window over all rows only sees one row a range, however the ids lie.
     """
-    up = lambda c: F.floor(F.col(c) / BUCKET)
-    ids = ids.select("doc_id").distinct().withColumn("b", up("doc_id"))
-    heads = ids.groupBy("b").agg(F.min("doc_id").alias("head")).withColumn("s", up("b"))
-    tops = heads.groupBy("s").agg(F.min("head").alias("top"))
-    every = Window.orderBy("s")
-    tops = tops.select("s", F.coalesce(F.lead("top").over(every), F.first("top").over(every.rowsBetween(Window.unboundedPreceding, 0))).alias("next_top"))
-    heads = heads.withColumn("n", F.lead("head").over(Window.partitionBy("s").orderBy("b"))).join(tops, "s").select("b", F.coalesce("n", "next_top").alias("next_head"))
-    inner = ids.withColumn("n", F.lead("doc_id").over(Window.partitionBy("b").orderBy("doc_id")))
-    return inner.join(heads, "b").select("doc_id", F.coalesce("n", "next_head").alias("next_id"))
+    ids = written(ids.select("doc_id").distinct().repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
+    heads = ids.groupBy("part").agg(F.min("doc_id").alias("head"))
+    every = Window.orderBy("part")
+    heads = heads.select("part", F.coalesce(F.lead("head").over(every), F.first("head").over(every.rowsBetween(Window.unboundedPreceding, 0))).alias("next_head"))
+    inner = ids.withColumn("n", F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id")))
+    return inner.join(F.broadcast(heads), "part").select("doc_id", F.coalesce("n", "next_head").alias("next_id"))
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -121,8 +118,9 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, subsets:
     key = ["doc_id", "next_id", "n_chars", "sha", "edited_sha256"]
     rows = both.select(*key, F.explode(terms).alias("t")).select(*key, "t.term", "t.of")
     rows = rows.join(words, "term", "left").where("mask is not null or of = 0").withColumn("mask", F.when(F.col("of") == 0, F.lit(0).cast("long")).otherwise(F.col("mask")))
-    found = rows.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("term", "mask", "of"))).alias("terms"))
-    found = found.select(*key, F.filter("terms", lambda t: t["of"].bitwiseAND(F.lit(1)) != 0).alias("a"), F.filter("terms", lambda t: t["of"].bitwiseAND(F.lit(2)) != 0).alias("b"))
+    # each row of docs has one term of kind 0
+    found = rows.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("term", "mask", "of"))).alias("terms"), F.count_if(F.col("of") == 0).cast("int").alias("copies"))
+    found = found.select(*key, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), F.filter("terms", lambda t: t["of"].bitwiseAND(F.lit(1)) != 0).alias("a"), F.filter("terms", lambda t: t["of"].bitwiseAND(F.lit(2)) != 0).alias("b"))
     found = found.select(*key, prints(F.col("a"), subsets).alias("a"), prints(F.col("b"), subsets).alias("b"))
     return found.select("doc_id", "next_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", written_out(F.col("a"), F.col("sha")).alias("fingerprint"), written_out(F.col("b"), F.col("edited_sha256")).alias("edited_fingerprint"))
 
