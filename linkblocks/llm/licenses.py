@@ -1,7 +1,8 @@
 """License scans by sentence rules.
 
 Sentences are normalised (lower case, runs of other than a-z and 0-9 as one
-space) and looked up among known licence sentences. The identifiers found in a
+space) and looked up among known licence sentences. Sentences end at a stop before
+white space, at a blank line, and before a numbered or bulleted clause. The identifiers found in a
 text, in order, are matched against ordered rules: each rule is a sequence of
 identifiers, and what an earlier rule has matched is not open to later ones. A
 text is read twice, by lines and by sentences that may run over lines; the larger
@@ -43,6 +44,28 @@ SENTENCES = {
     "ccbync_notice": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "ccby_notice": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "ccbysa_notice": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "apache_head": ["TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"],
+    "apache_copyright": ["Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."],
+    "gpl_everyone": ["Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."],
+    "gpl3_free": ["The GNU General Public License is a free, copyleft license for software and other kinds of works."],
+    "gpl2_terms_apply": ["This License applies to any program or other work which contains a notice placed by the copyright holder saying it may be distributed under the terms of this General Public License."],
+    "lgpl_free": ["This library is free software"],
+    "lgpl21_terms": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "lgpl3_adds": ["This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."],
+    "lgpl_notice": ["SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "agpl3_terms": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "agpl3_free": ["The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."],
+    "agpl_notice": ["SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "mpl_copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "mpl_grant": ["Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license"],
+    "epl_accept": ["THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\")."],
+    "epl_notice": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "SPDX-License-Identifier: EPL-2.0"],
+    "zlib_as_is": ["This software is provided 'as-is', without any express or implied warranty."],
+    "zlib_grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "zlib_origin": ["The origin of this software must not be misrepresented"],
+    "cc0_dedicate": ["The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law."],
+    "cc0_notice": ["SPDX-License-Identifier: CC0-1.0", "Licensed under CC0 1.0."],
+    "bsl_grant": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 #: In order: whole licences before notices.
@@ -54,19 +77,36 @@ RULES = [
     ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse"]),
     ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary"]),
     ("Apache-2.0", ["apache_notice", "apache_comply", "apache_basis"]),
+    ("Apache-2.0", ["apache_head", "apache_copyright"]),
     ("Apache-2.0", ["apache_notice"]),
+    ("AGPL-3.0", ["gpl_everyone", "agpl3_free"]),
+    ("AGPL-3.0", ["gpl_free", "agpl3_terms"]),
+    ("AGPL-3.0", ["agpl_notice"]),
+    ("LGPL-2.1", ["lgpl_free", "lgpl21_terms"]),
+    ("LGPL-2.1", ["lgpl_notice"]),
+    ("LGPL-3.0", ["gpl_everyone", "lgpl3_adds"]),
+    ("GPL-3.0", ["gpl_everyone", "gpl3_free"]),
+    ("GPL-2.0", ["gpl_everyone", "gpl2_terms_apply"]),
     ("GPL-3.0", ["gpl_free", "gpl3_terms"]),
     ("GPL-2.0", ["gpl_free", "gpl2_terms"]),
     ("GPL-3.0", ["gpl3_notice"]),
+    ("MPL-2.0", ["mpl_notice", "mpl_copy"]),
     ("MPL-2.0", ["mpl_notice"]),
+    ("MPL-2.0", ["mpl_grant"]),
+    ("EPL-2.0", ["epl_accept"]),
+    ("EPL-2.0", ["epl_notice"]),
+    ("Zlib", ["zlib_as_is", "zlib_grant", "zlib_origin"]),
+    ("CC0-1.0", ["cc0_dedicate"]),
+    ("CC0-1.0", ["cc0_notice"]),
+    ("BSL-1.0", ["bsl_grant"]),
     ("CC-BY-NC-4.0", ["ccbync_notice"]),
     ("CC-BY-4.0", ["ccby_notice"]),
     ("CC-BY-SA-4.0", ["ccbysa_notice"]),
     ("Unlicense", ["unlicense"]),
 ]
 #: Every known sentence contains one of these, so other texts aren't split at all.
-ANCHORS = "[Ll][Ii][Cc][Ee][Nn][Ss]|[Pp][Ee][Rr][Mm][Ii][Ss][Ss][Ii][Oo][Nn]|[Ss][Oo][Ff][Tt][Ww][Aa][Rr][Ee]|[Rr][Ee][Dd][Ii][Ss][Tt][Rr][Ii][Bb][Uu][Tt]|[Ee][Nn][Dd][Oo][Rr][Ss][Ee]|[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]"
-BREAKS = {"line": r"[\r\n]+", "sentence": r"[.!?;:][ \t\r\n\f]+"}
+ANCHORS = "[Ll][Ii][Cc][Ee][Nn][Ss]|[Pp][Ee][Rr][Mm][Ii][Ss][Ss][Ii][Oo][Nn]|[Ss][Oo][Ff][Tt][Ww][Aa][Rr][Ee]|[Rr][Ee][Dd][Ii][Ss][Tt][Rr][Ii][Bb][Uu][Tt]|[Ee][Nn][Dd][Oo][Rr][Ss][Ee]|[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]|[Rr][Ee][Pp][Rr][Oo][Dd][Uu][Cc][Tt][Ii][Oo][Nn]|MPL|mpl"
+BREAKS = {"line": r"[\r\n]+", "sentence": r"[.!?;:][ \t\r\n\f]+|\r?\n[ \t]*\r?\n[ \t\r\n\f]*|\n[ \t]*(?:[*-]|[0-9]+[.)])[ \t]+"}
 
 
 def normal(sentence: str) -> str:
