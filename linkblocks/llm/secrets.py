@@ -1,22 +1,29 @@
 """Secret scans over an incremental ledger of content-addressed blobs.
 
-Every version of every path is named by the SHA-256 of its text. A blob is
-scanned once for each rule version that the ledger does not hold for it yet, and
-its findings are joined back to all paths that carry it. JVM expressions only.
+Every version of every path is named by the SHA-256 of its text. The ledger is a
+table that each run appends to: a row for a blob, the rule versions it was scanned
+for, and what they matched. A blob is scanned once for each rule version that the
+ledger does not hold for it yet; findings are read from the ledger and joined back to
+all paths that carry the blob. Places of matches are running sums over rows, so a
+text costs its length and its matches. JVM expressions only. The query begins a
+ledger of its own; a caller that keeps one passes it to ``scan``.
 
 Edge cases: a null text is an empty blob; empty texts have no findings; repeated
 rows and exact copies share one scan and each row gets its result; extra columns
-of the input are ignored.
+of the input are ignored; a blob that is in the ledger twice for one rule version,
+after a run that failed between, counts once.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hinted, table, text_or_empty, written
+from .common import hinted, shared_dir, table, text_or_empty, written
 
 
 @dataclass(frozen=True)
@@ -55,57 +62,83 @@ RULES = BASE + MORE
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 
 
-def _spans(rule: Rule, rank: int) -> Column:
-    """Matches m_<kind> and the text between them g_<kind> as sorted code-point spans."""
-    m, g = F.col(f"m_{rule.kind}"), F.col(f"g_{rule.kind}")
+LEDGER = "blob string, rules array<string>, marks array<struct<rule:string,i:int,gap:int,size:int,keep:boolean>>"
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["pos"] + F.length(g[i])
-        end = start + F.length(m[i])
-        long_enough = F.length(F.regexp_extract(m[i], rule.pattern, rule.group)) >= rule.least if rule.group else F.lit(True)
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("pos"), F.when(long_enough, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step)["out"]
-    return F.when(F.size(m) > 0, found).otherwise(F.array().cast(f"array<{SPAN}>"))
+def _marks(rule: Rule) -> Column:
+    """Matches m_<kind> and the text between them g_<kind> as lengths."""
+    def one(m: Column, g: Column) -> Column:
+        keep = F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least if rule.group else F.lit(True)
+        return F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), keep.alias("keep"))
+
+    # side by side, not by index: an array that a lambda looks into is made anew for each element
+    both = F.filter(F.zip_with(f"m_{rule.kind}", f"g_{rule.kind}", one), lambda x: x["size"].isNotNull())
+    return F.transform(both, lambda x, i: F.struct(F.lit(rule.key).alias("rule"), i.alias("i"), x["gap"].alias("gap"), x["size"].alias("size"), x["keep"].alias("keep")))
 
 
 def scan_blobs(blobs: DataFrame, rules=RULES) -> DataFrame:
-    """(blob, text, pending) -> (blob, spans) for blobs with findings; only rules in pending run."""
+    """(blob, text, pending) -> (blob, rules, marks), rows of a ledger; only rules in pending run."""
     ms = {}
     for r in rules:
         wanted = F.array_contains("pending", r.key) & (F.contains("text", F.lit(r.needs)) if r.needs else F.lit(True))
         ms[f"m_{r.kind}"] = F.when(wanted, F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    some = None
-    for name in ms:
-        some = F.size(name) > 0 if some is None else some | (F.size(name) > 0)
-    df = blobs.select("blob", "text", *(c.alias(n) for n, c in ms.items())).where(some)
-    df = df.withColumns({f"g_{r.kind}": F.when(F.size(f"m_{r.kind}") > 0, F.split("text", r.pattern, -1)) for r in rules})
-    spans = F.sort_array(F.concat(*(_spans(r, i) for i, r in enumerate(rules))))
-    return df.select("blob", spans.alias("spans")).where(F.size("spans") > 0)
-
-
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, path: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scans what the ledger lacks.
-
-    versions: one row for each version of each path. ledger: (blob, rule) pairs
-    scanned before. Returns (paths, findings, ledger): paths has (path, blob,
-    n_chars) for every row; findings (blob, spans) of this run; ledger the pairs
-    scanned in this run, to be appended to the caller's.
+    df = blobs.select("blob", "text", "pending", *(c.alias(n) for n, c in ms.items()))
+    df = df.withColumns({f"g_{r.kind}": F.when(F.size(f"m_{r.kind}") > 0, F.split("text", r.pattern, -1)).otherwise(F.array().cast("array<string>")) for r in rules})
+    return df.select("blob", F.col("pending").alias("rules"), F.concat(*(_marks(r) for r in rules)).alias("marks"))
+
+
+class Ledger:
+    """Blobs, the rule versions they were scanned for and what these matched: a table in a folder."""
+
+    def __init__(self, spark, folder: str | None = None):
+        self.spark, self.folder = spark, folder or f"{shared_dir(spark)}/ledger/{uuid.uuid4().hex}"
+
+    def rows(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(LEDGER).parquet(self.folder)
+        except AnalysisException:  # nothing was appended yet
+            return self.spark.createDataFrame([], LEDGER)
+
+    def append(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.folder)
+
+    def scanned(self) -> DataFrame:
+        """(blob, seen): the rule versions each blob was scanned for."""
+        return self.rows().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
+
+    def findings(self, rules=RULES) -> DataFrame:
+        """(blob, spans) of the blobs with findings of these rule versions."""
+        marks = self.rows().where(F.size("marks") > 0).select("blob", F.explode("marks").alias("m")).select("blob", "m.*")
+        marks = marks.where(F.col("rule").isin([r.key for r in rules])).dropDuplicates(["blob", "rule", "i"])
+        end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("blob", "rule").orderBy("i")).cast("int")
+        which = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.key, i)))
+        kind = F.create_map(*(F.lit(x) for r in rules for x in (r.key, r.kind)))
+        placed = marks.withColumn("end", end).where("keep")
+        span = F.struct((F.col("end") - F.col("size")).alias("start"), which[F.col("rule")].alias("rank"), "end", kind[F.col("rule")].alias("kind"))
+        return placed.groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+
+
+def scan(versions: DataFrame, ledger: Ledger | None = None, rules=RULES, path: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, Ledger]:
+    """Scans what the ledger lacks and appends it there.
+
+    versions: one row for each version of each path. Returns (paths, findings,
+    ledger): paths has (path, blob) for every row; findings (blob, spans) of all
+    blobs of the ledger, of the present rule versions.
     """
+    ledger = ledger or Ledger(versions.sparkSession)
     named = versions.select(F.col(path).alias("path"), text_or_empty(text).alias("text"))
     paths = named.select("path", F.sha2("text", 256).alias("blob"))
     # copies meet in the map-side part of this aggregation, so a hot blob is one row a task
     blobs = named.select(F.sha2("text", 256).alias("blob"), "text").groupBy("blob").agg(F.first("text").alias("text"))
     every = F.array(*(F.lit(r.key) for r in rules))
-    if ledger is None:
+    before = ledger.rows()
+    if before.isEmpty():
         blobs = blobs.withColumn("pending", every)
     else:
-        seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("pending", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("pending") > 0)
-    done = blobs.select("blob", F.explode("pending").alias("rule"))
-    return paths, scan_blobs(blobs, rules), done
+        left = F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
+        blobs = blobs.join(ledger.scanned(), "blob", "left").withColumn("pending", left).where(F.size("pending") > 0)
+    ledger.append(scan_blobs(blobs, rules))
+    return paths, ledger.findings(rules), ledger
 
 
 def findings_by_path(paths: DataFrame, findings: DataFrame) -> DataFrame:
@@ -134,7 +167,7 @@ def redact(docs: DataFrame, findings: DataFrame, mask: str = "[redacted]") -> Da
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
     paths, findings, _ = scan(table(spark, sf_dir, "documents"))
     # a table of its own: few blobs have findings, and if many do, hot blobs can be split in the join
-    rows = findings_by_path(paths, hinted(written(findings), 100_000))
+    rows = findings_by_path(paths, hinted(written(findings), size=128 + 40 * F.size("spans")))
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return rows.select(

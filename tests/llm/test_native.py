@@ -1,6 +1,8 @@
 """Secrets, chat formatting and licences against brute force, and their edge cases."""
 
 import re
+import textwrap
+import time
 
 from linkblocks.llm import chat, licenses, secrets
 
@@ -32,20 +34,40 @@ def test_secrets(spark):
     got = {r.path: r.spans for r in secrets.findings_by_path(paths, findings).collect()}
     for i, t in enumerate([*TEXTS, TEXTS[2]]):
         assert [f"{s.kind}:{s.start}:{s.end}" for s in got[i]] == brute(t), t
-    assert done.count() == 3 * len({t or "" for t in TEXTS})
+    assert sum(len(r.rules) for r in done.rows().collect()) == 3 * len({t or "" for t in TEXTS})
 
 
 def test_ledger_keeps_blobs_from_being_scanned_again(spark):
     old = spark.createDataFrame([(1, TEXTS[2]), (2, "clean")], "doc_id long, text string")
     new = old.unionByName(spark.createDataFrame([(3, TEXTS[2]), (4, TEXTS[6])], "doc_id long, text string"))
-    _, found, ledger = secrets.scan(old, rules=secrets.BASE)
-    paths, again, more = secrets.scan(new, ledger, secrets.BASE)
+    _, _, ledger = secrets.scan(old, rules=secrets.BASE)
+    first = ledger.rows().collect()
+    assert len(first) == 2
+    paths, found, _ = secrets.scan(new, ledger, secrets.BASE)
     blobs = {r.path: r.blob for r in paths.collect()}
-    assert [r.blob for r in again.collect()] == [blobs[4]] and {r.blob for r in more.collect()} == {blobs[4]}
-    rows = secrets.findings_by_path(paths, found.unionByName(again)).collect()
-    assert {r.path for r in rows if r.spans} == {1, 3, 4}
-    newer = [secrets.Rule("hex", 2, r"[0-9a-f]{8,}")]
-    assert secrets.scan(new, ledger.unionByName(more), newer)[2].count() == 3
+    added = {r.blob for r in ledger.rows().collect()} - {r.blob for r in first}
+    assert added == {blobs[4]} and ledger.rows().count() == 3
+    rows = {r.path: r.spans for r in secrets.findings_by_path(paths, found).collect()}
+    assert {k for k, v in rows.items() if v} == {1, 3, 4} and rows[1] == rows[3]
+    # nothing is left to scan: no row is added, and the findings stay
+    _, again, _ = secrets.scan(new, secrets.Ledger(spark, ledger.folder), secrets.BASE)
+    assert ledger.rows().count() == 3 and sorted(again.collect()) == sorted(found.collect())
+    # another version of a rule is scanned for all blobs, its elder's findings don't count
+    newer = [secrets.Rule("hex", 2, r"[0-9a-f]{4,}")]
+    _, other, _ = secrets.scan(new, ledger, newer)
+    more = [r for r in ledger.rows().collect() if r.rules == ["hex@2"]]
+    assert len(more) == 3 and {s.kind for r in other.collect() for s in r.spans} == {"hex"}
+    # a run that was repeated after it had written changes nothing
+    ledger.append(ledger.rows())
+    assert sorted(ledger.findings(secrets.BASE).collect()) == sorted(found.collect())
+
+
+def test_many_matches_in_one_text(spark):
+    text = "token=abcdef " * 30_000 + "é" + " secret:ABCDEFGH" * 1000
+    began = time.time()
+    _, found, _ = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), rules=secrets.BASE)
+    got = [f"{s.kind}:{s.start}:{s.end}" for s in found.first().spans]
+    assert got == brute(text) and time.time() - began < 60
 
 
 def test_redaction_joins_overlapping_spans(spark):
@@ -89,6 +111,42 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licence_files_as_they_come(spark):
+    """A heading, a copyright line, wrapped paragraphs between blank lines, clauses with numbers or bullets."""
+    wrap = lambda t: "\n".join(textwrap.wrap(t, 68))
+    said = lambda k: licenses.SENTENCES[k][0]
+    head = "{}\n\nCopyright (c) 2019, Some Person and others\n\n"
+    files = {
+        "MIT": head.format("MIT License") + "\n\n".join([wrap(said("mit_grant") + ":"), wrap(said("mit_keep")), wrap(said("as_is"))]),
+        "ISC": head.format("ISC License") + wrap(said("isc_grant")) + "\n\nTHE SOFTWARE IS PROVIDED",
+        "BSD-2-Clause": head.format("BSD 2-Clause License").replace("others\n", "others. All rights reserved.\n") + wrap(said("bsd_grant") + ":") + "\n\n* " + wrap(said("bsd_source")) + "\n* " + wrap(said("bsd_binary")),
+        "BSD-3-Clause": head.format("BSD 3-Clause License") + wrap(said("bsd_grant") + ":") + "".join(f"\n\n{i}. " + wrap(said(k)) for i, k in enumerate(("bsd_source", "bsd_binary", "bsd_endorse"), 1)),
+        "Apache-2.0": "   " + said("apache_head") + "\n\n   1. Definitions.\n\n   2. Grant of Copyright License. " + wrap(said("apache_copyright")),
+        "GPL-3.0": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + wrap(said("gpl_everyone")) + "\n\n  Preamble\n\n" + wrap(said("gpl3_free")) + "\n\nmore",
+        "AGPL-3.0": wrap(said("gpl_everyone")) + "\n\n  Preamble\n\n" + wrap(said("agpl3_free")),
+        "LGPL-2.1": "/* " + wrap(said("lgpl_free") + "; " + said("lgpl21_terms")) + " */",
+        "MPL-2.0": wrap(said("mpl_notice") + " " + said("mpl_copy")),
+        "Zlib": wrap(said("zlib_as_is")) + "\n\n" + wrap(said("zlib_grant") + ":") + "\n\n1. " + wrap(said("zlib_origin") + "; you must not claim") ,
+        "CC0-1.0": "No Copyright\n\n" + wrap(said("cc0_dedicate")),
+        "EPL-2.0": "Eclipse Public License - v 2.0\n\n" + wrap(said("epl_accept")),
+        "BSL-1.0": "Boost Software License\n\n" + wrap(said("bsl_grant") + ":"),
+    }
+    df = spark.createDataFrame([(k, t) for k, t in files.items()], "doc_id string, text string")
+    assert {r.doc_id: r.licences for r in licenses.scan(df).collect()} == {k: f"{k}:1" for k in files}
+    assert {x[0] for x in licenses.RULES} >= set(files)
+    # texts without an anchor aren't split, so each known sentence must have one
+    assert all(re.search(licenses.ANCHORS, f) for forms in licenses.SENTENCES.values() for f in forms)
+
+
+def test_long_and_repeated_texts(spark):
+    long = "word " * 300_000 + "end. Released under the MIT License. " + "x" * 200_000
+    df = spark.createDataFrame([(1, long), (1, long), (2, "\n" * 100_000)], "doc_id long, text string")
+    assert [r.licences for r in licenses.scan(df).orderBy("doc_id").collect()] == ["MIT:1", "MIT:1", ""]
+    rows = spark.createDataFrame([(1, 0, "assistant", long, "z"), (1, 1, "user", None, "z")], "conv_id long, turn long, role string, text string, formatted string")
+    read = chat.parse(chat.render(chat.fold(chat.log_of(rows)))).first()
+    assert read.loss_text == long and [t.text for t in read.turns] == [long, ""]
+
+
 def test_queries_equal_their_sql(spark):
     from linkblocks.llm import registry
     from tests.oracle import compare
