@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.lineage import settled
+
 BIG = "bigint"
 
 
@@ -24,19 +26,23 @@ class BlockSet:
         self.left = left.distinct() if distinct else left
         self.right = right.distinct() if distinct else right
         self.left_name, self.right_name, self.one_sided = left_name, right_name, one_sided
+        self._sizes: DataFrame | None = None
 
     @property
     def columns(self) -> list[str]:
         return [self.left_name, self.right_name]
 
-    def cache(self) -> BlockSet:
-        self.left, self.right = self.left.cache(), self.right.cache()
+    def settle(self) -> BlockSet:
+        """Memberships that later plans read, not compute again."""
+        self.left, self.right = settled(self.left), settled(self.right)
         return self
 
     # sizes
 
     def sizes(self) -> DataFrame:
-        """(block_id, n_left, n_right), by one shuffle of partial counts."""
+        """(block_id, n_left, n_right), by one shuffle of partial counts; where they were settled, as they were."""
+        if self._sizes is not None:
+            return self._sizes
         one = lambda d, a, b: d.select("block_id", F.lit(a).alias("l"), F.lit(b).alias("r"))
         out = one(self.left, 1, 0).unionAll(one(self.right, 0, 1)).groupBy("block_id").agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
         return out if self.one_sided else out.where("n_left > 0 and n_right > 0")
@@ -170,9 +176,13 @@ class BlockSet:
 
     def purge(self, digits: int) -> BlockSet:
         """Blocks of no more comparisons than the threshold."""
+        # the memberships are counted once: the threshold, its test and the sizes that stay are of these counts
+        self._sizes = settled(self.sizes())
         cut = F.broadcast(self.purge_threshold(digits))
-        keep = self.comparisons().crossJoin(cut).where("comparisons <= threshold").select("block_id")
-        return self._only(keep)
+        keep = self._sizes.crossJoin(cut).where(F.col("n_left") * F.col("n_right") <= F.col("threshold")).select("block_id", "n_left", "n_right")
+        kept = self._only(keep)
+        kept._sizes = keep
+        return kept
 
     def iterative_threshold(self) -> DataFrame:
         """One row (threshold): ascending over distinct cardinalities, the first whose ratio of all blocks before it equals the one before, else the largest."""

@@ -37,7 +37,7 @@ class CompositeUniqueNameBlocker(Blocker):
 
     def assign(self, left: EntityFrame, right: EntityFrame, left_rel=None, right_rel=None):
         _need(left_rel, right_rel)
-        blocks = UniqueNameBlocker().assign(left, right).cache() if self.use_unique else None
+        blocks = UniqueNameBlocker().assign(left, right).settle() if self.use_unique else None
 
         def rest(rows: DataFrame, side: int, col: str = "id") -> DataFrame:
             return without_matched(rows, blocks.left if side == 0 else blocks.right, col) if blocks else rows

@@ -45,24 +45,22 @@ def token_hash(token: Column) -> Column:
     return F.conv(F.substring(F.md5(token.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
-def signature(tokens: Column, n: int, seed: int = 1) -> Column:
-    """n minima over (a * hash + b) mod a prime; PRIME for each if there are no tokens."""
-    hashes = F.transform(tokens, token_hash)
-    # one pass over the hashes for all permutations
-    pairs = F.array(*(F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in permutations(n, seed)))
-    start = F.array_repeat(F.lit(PRIME).cast("long"), n)
+def signatures(texts: DataFrame, tokenizer: Tokenizer, n: int, seed: int = 1) -> DataFrame:
+    """(id, m0, m1, ...): n minima over (a * hash + b) mod a prime; PRIME for each if there are no tokens.
 
-    def fold(acc: Column, h: Column) -> Column:
-        return F.zip_with(acc, pairs, lambda m, p: F.least(m, (p["a"] * h + p["b"]) % PRIME))
-
-    return F.aggregate(hashes, start, fold)
+    A row a token and a minimum a permutation: generated code, and partial minima
+    before the shuffle, so a text is one row of it. Rows of one id are one text.
+    """
+    h = F.col("h")
+    hashed = texts.select("id", F.explode_outer(tokenizer.tokens(F.col("text"))).alias("tok")).select("id", token_hash(F.col("tok")).alias("h"))
+    mins = (F.coalesce(F.min((h * F.lit(a).cast("long") + F.lit(b).cast("long")) % PRIME), F.lit(PRIME).cast("long")).alias(f"m{i}") for i, (a, b) in enumerate(permutations(n, seed)))
+    return hashed.groupBy("id").agg(*mins)
 
 
 def band_rows(texts: DataFrame, tokenizer: Tokenizer, bands: int, rows: int, seed: int = 1) -> DataFrame:
     """(id, band) keys: band number and its minima as one string."""
-    sig = texts.select("id", signature(tokenizer.tokens(F.col("text"), distinct=True), bands * rows, seed).alias("sig"))
-    key = lambda k: F.concat_ws(",", F.lit(str(k)), F.transform(F.slice("sig", k * rows + 1, rows), lambda x: x.cast("string")))
-    return sig.select("id", F.explode(F.array(*(key(k) for k in range(bands)))).alias("band"))
+    key = lambda k: F.concat_ws(",", F.lit(str(k)), *(F.col(f"m{i}").cast("string") for i in range(k * rows, (k + 1) * rows)))
+    return signatures(texts, tokenizer, bands * rows, seed).select("id", F.explode(F.array(*(key(k) for k in range(bands)))).alias("band"))
 
 
 class MinHashLSHBlocker(TextBlocker):

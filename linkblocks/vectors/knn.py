@@ -14,6 +14,7 @@ from ..functions.lineage import settled
 from .hdbscan import hdbscan
 
 PACK = 2048
+BATCH_BYTES = 64 << 20
 METRICS = ("euclidean", "sqeuclidean", "cosine")
 
 
@@ -28,27 +29,61 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
         unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         return 1 - unit(a) @ unit(b).T
     out = np.empty((len(a), len(b)))
-    for i in range(0, len(a), 64):
-        d = a[i : i + 64, None] - b[None]
-        out[i : i + 64] = np.einsum("ijk,ijk->ij", d, d)
+    step = max(1, (1 << 22) // max(1, b.size))  # differences of a block take 32 MB at most, or one row's
+    for i in range(0, len(a), step):
+        d = a[i : i + step, None] - b[None]
+        out[i : i + step] = np.einsum("ijk,ijk->ij", d, d)
     return out if metric == "sqeuclidean" else np.sqrt(out)
 
 
+def closest(a: np.ndarray, b: np.ndarray, k: int, metric: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row of a the rows of b among the k nearest, ties with the last of them too, and their distances to nine digits.
+
+    A matrix product finds all that may be near enough, whatever it rounds; only
+    their differences are taken.
+    """
+    if metric == "cosine":
+        d = np.round(distances(a, b, metric), 9)
+    else:
+        square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)
+    out = []
+    k = min(k, len(b))
+    for i in range(len(a)):
+        if metric == "cosine":
+            near = np.flatnonzero(d[i] <= np.partition(d[i], k - 1)[k - 1])
+            out.append((near, d[i, near]))
+            continue
+        slack = 1e-9 + 1e-12 * (square[i].max() + a.shape[1])
+        last = max(0.0, np.partition(square[i], k - 1)[k - 1])
+        # what rounds to the same nine digits as the last one is as near as it
+        near = np.flatnonzero(square[i] <= (np.sqrt(last + slack) + 2e-9) ** 2 + slack)
+        exact = np.round(distances(a[i : i + 1], b[near], metric)[0], 9)
+        keep = exact <= np.partition(exact, k - 1)[k - 1]
+        out.append((near[keep], exact[keep]))
+    return out
+
+
+def _vectors(column: pa.Array, i: int, rows: int) -> np.ndarray:
+    """The i-th list of a column as rows of a matrix, without Python numbers."""
+    ends = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[ends[i] : ends[i + 1]].astype(float).reshape(rows, -1)
+
+
 def _nearest(k: int, metric: str):
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                ln, rn = row["l_names"], row["r_names"]
-                d = np.round(distances(np.array(row["l_vecs"]).reshape(len(ln), -1), np.array(row["r_vecs"]).reshape(len(rn), -1), metric), 9)
+        for whole in batches:
+            for batch in (whole.slice(i, 1) for i in range(whole.num_rows)):
+                col = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: B023, E731
+                ln, rn = col("l_names").to_pylist()[0], col("r_names").to_pylist()[0]
                 names = np.array(rn)
                 left, right, dist = [], [], []
-                for i, name in enumerate(ln):
-                    # all that tie with the k-th stay; the window below orders them by name
-                    near = np.flatnonzero(d[i] <= np.partition(d[i], min(k, len(rn)) - 1)[min(k, len(rn)) - 1])
-                    near = near[np.lexsort((names[near], d[i, near]))][:k]
-                    left += [name] * len(near)
-                    right += names[near].tolist()
-                    dist += d[i, near].tolist()
+                found = closest(_vectors(col("l_vecs"), 0, len(ln)), _vectors(col("r_vecs"), 0, len(rn)), k, metric)
+                for name, (near, d) in zip(ln, found, strict=True):
+                    # the window below orders ties by name
+                    order = np.lexsort((names[near], d))[:k]
+                    left += [name] * len(order)
+                    right += names[near[order]].tolist()
+                    dist += d[order].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(dist, pa.float64())], ["left_id", "right_id", "distance"])
 
     return run
@@ -62,6 +97,9 @@ def nearest(left: DataFrame, right: DataFrame, k: int, metric: str = "euclidean"
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
+    # a meeting of two groups is megabytes, so Arrow batches are bounded by bytes
+    conf, key = left.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf.set(key, f"{BATCH_BYTES}b")
     both = _packed(left, "l", pack).crossJoin(_packed(right, "r", pack))
     part = both.mapInArrow(_nearest(k, metric), "left_id string, right_id string, distance double")
     rank = F.row_number().over(Window.partitionBy("left_id").orderBy("distance", "right_id"))
