@@ -53,9 +53,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _, findings, _ = secrets.scan(docs)
-    named = docs.withColumn("text", text_or_empty()).withColumn("blob", F.sha2("text", 256))
-    clean = secrets.redact(named, hinted(written(findings), 100_000))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    # the row apart: columns of it may have any names
+    named = docs.select(F.struct(*docs.columns).alias("row"), text_or_empty().alias("text")).withColumn("blob", F.sha2("text", 256))
+    clean = secrets.redact(named, hinted(written(findings), size=128 + 40 * F.size("spans")))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return clean.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
