@@ -1,16 +1,19 @@
 """Scores of whole texts under a gated recurrent language model.
 
 Tokens are words (ASCII capitals lowered) and one end for each text. Word counts
-come from all training texts. The model predicts symbols: the end, the ``SYMBOLS``
-most frequent words, and one for all other words, whose probability then is split
-by count plus one, with one share for words never seen. The output softmax is
-factored: a class first, then a symbol of that class. Training is truncated
-back-propagation in numpy over all training texts: a hash deals them to groups, as
-many as the corpus needs, and to ``ROUNDS``; the first group's first share, some
-``PART`` tokens, starts the network, then in each round all groups train on from one
-network and their parameters are averaged by tokens. Texts are scored whole: they are
-laid into lanes that advance together, and each lane's state is carried from
-window to window until its text ends.
+come from all training texts. The model predicts symbols: the end, each of the
+``SYMBOLS`` most frequent words, and for all other words the ``KINDS`` kinds that
+their last two bytes make; the words of a kind then have its probability split by
+count plus one, with one share for words never seen. So every word of the corpus
+has its own probability. The output softmax over symbols is factored: a class first,
+then a symbol of that class. Training is truncated back-propagation in numpy over
+all training texts: a hash deals them to groups, as many as the corpus needs, and to
+``ROUNDS``; the first group's first share, some ``PART`` tokens, starts the network,
+then in each round all groups train on from one network and their parameters are
+averaged by tokens, partition by partition. Texts are scored whole: they are laid
+end to end into lanes that advance together, a window at a time, and each lane's
+state is carried from window to window until its text ends; memory grows with the
+tokens of a pool of texts, or of one text where that is longer.
 
 Counts of the ``KNOWN`` most frequent words are broadcast, a bound that doesn't
 grow; the other words of a text are joined with the counts by key.
@@ -35,19 +38,26 @@ from .common import mapped, table, text_or_empty, written
 from .language import fold_is
 
 FOLDS, HELD_OUT = 7, 2
-SYMBOLS, CLASS_SIZE, STATE = 510, 16, 16
+SYMBOLS, CLASS_SIZE, STATE = 959, 32, 16
+#: Kinds of the words without a symbol, a power of two; the last bits of a word's hash.
+KINDS = 64
 KNOWN = 1 << 18
 #: Tokens of a group in a round, about, and rounds
 PART, ROUNDS = 1_000_000, 2
 LANES, STEPS, POOL = 512, 64, 3_000_000
-END, OTHER = 0, 1
+#: Symbols: the end, the kinds, then words.
+END = 0
 
 
 def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all rows, and the first word of each row."""
+    """Hashes of the words of all rows, with their kinds as last bits, and the first word of each row."""
     data = W.LOWER[data]
     starts, ends, first = W.spans(data, at)
-    return (W.hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)), first
+    if not len(starts):
+        return np.zeros(0, np.uint64), first
+    tail = data[ends - 1].astype(np.uint64) << np.uint64(8) | data[np.maximum(ends - 2, starts)].astype(np.uint64)
+    mask = np.uint64(KINDS - 1)
+    return W.hashes(data, starts, ends) & ~mask | W.mix(tail) & mask, first
 
 
 def _counted(batches):
@@ -101,9 +111,18 @@ class Gru:
     def step(self, h: np.ndarray, x: np.ndarray):
         k = h.shape[1]
         g = h @ self.u
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * k] + g[:, : 2 * k])))
-        n = np.tanh(x[:, 2 * k :] + zr[:, k:] * g[:, 2 * k :])
-        return n + zr[:, :k] * (h - n), zr, n, g[:, 2 * k :]
+        zr = x[:, : 2 * k] + g[:, : 2 * k]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        n = zr[:, k:] * g[:, 2 * k :]
+        n += x[:, 2 * k :]
+        np.tanh(n, out=n)
+        out = h - n
+        out *= zr[:, :k]
+        out += n
+        return out, zr, n, g[:, 2 * k :]
 
     def states(self, h: np.ndarray, inputs: np.ndarray, fresh: np.ndarray, keep: bool = False):
         """Runs a window (steps, lanes); fresh marks the first token of a text. Returns all states, the last one, and what a step back needs."""
@@ -122,10 +141,12 @@ class Gru:
     def log_probability(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural logarithm of the symbols y after the states h."""
         c, w = np.divmod(y, self.size)
-        a = h @ self.cw + self.cb
+        a = h @ self.cw
+        a += self.cb
         a -= a.max(1, keepdims=True)
-        out = a[np.arange(len(y)), c] - np.log(np.exp(a).sum(1))
-        order = np.argsort(c, kind="stable")
+        out = a[np.arange(len(y)), c]
+        out -= np.log(np.exp(a, out=a).sum(1))
+        order = np.argsort(c.astype(np.uint16), kind="stable")
         ends = np.searchsorted(c[order], np.arange(len(self.ww) + 1))
         for k in range(len(self.ww)):
             rows = order[ends[k] : ends[k + 1]]
@@ -143,16 +164,18 @@ class Gru:
         n = max(1, m.sum())
         c, w = np.divmod(y, self.size)
         a = flat @ self.cw + self.cb
-        p = np.exp(a - a.max(1, keepdims=True))
+        a -= a.max(1, keepdims=True)
+        p = np.exp(a, out=a)
         p /= p.sum(1, keepdims=True)
+        m32 = (m / n).astype(np.float32)
         rows = np.arange(len(y))
         loss = -np.log(p[rows, c])[m].sum()
         p[rows, c] -= 1
-        p *= (m / n)[:, None]
+        p *= m32[:, None]
         g = [np.zeros_like(x) for x in self.parameters()]
         g[3], g[4] = flat.T @ p, p.sum(0)
         d_out = p @ self.cw.T
-        order = np.argsort(c, kind="stable")
+        order = np.argsort(c.astype(np.uint16), kind="stable")
         ends = np.searchsorted(c[order], np.arange(len(self.ww) + 1))
         for j in range(len(self.ww)):
             some = order[ends[j] : ends[j + 1]]
@@ -164,7 +187,7 @@ class Gru:
             q /= q.sum(1, keepdims=True)
             loss -= np.log(q[at, w[some]])[m[some]].sum()
             q[at, w[some]] -= 1
-            q *= (m[some] / n)[:, None]
+            q *= m32[some][:, None]
             g[5][j], g[6][j] = of.T @ q, q.sum(0)
             d_out[some] += q @ self.ww[j].T
         d_out = d_out.reshape(out.shape)
@@ -175,14 +198,15 @@ class Gru:
             z, r = zr[:, :k], zr[:, k:]
             d = dh + d_out[t]
             da = d * (1 - z) * (1 - nn * nn)
-            dz = d * (h0 - nn) * z * (1 - z)
-            dr = da * gn * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, da], 1)
-            dg = np.concatenate([dz, dr, da * r], 1)
+            np.multiply(d * (h0 - nn), z * (1 - z), out=dx[t, :, :k])
+            np.multiply(da * gn, r * (1 - r), out=dx[t, :, k : 2 * k])
+            dx[t, :, 2 * k :] = da
+            dg = dx[t].copy()
+            dg[:, 2 * k :] *= r
             g[1] += h0.T @ dg
             dh = (d * z + dg @ self.u.T) * live[t]
         g[2] = dx.sum((0, 1))
-        order = np.argsort(inputs.reshape(-1), kind="stable")
+        order = np.argsort(inputs.reshape(-1).astype(np.uint16), kind="stable")
         which, begin = np.unique(inputs.reshape(-1)[order], return_index=True)
         g[0][which] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], begin)
         return loss / n, g, last
@@ -199,27 +223,7 @@ def lanes(sizes: np.ndarray, most: int = LANES) -> list[list[int]]:
     return sorted(out, key=lambda x: -sum(int(sizes[i]) for i in x))
 
 
-def laid_out(symbols: list[np.ndarray], most: int = LANES):
-    """Inputs, targets and first-token marks as (steps, lanes), where each text lies, and the tokens of each lane."""
-    sizes = np.array([len(s) + 1 for s in symbols])
-    dealt = lanes(sizes, most)
-    total = np.array([sum(sizes[i] for i in x) for x in dealt])
-    x = np.zeros((total.max(initial=0), len(dealt)), np.int16)
-    y, fresh = np.zeros_like(x), np.zeros(x.shape, bool)
-    place = np.zeros((len(symbols), 3), np.int64)
-    for lane, which in enumerate(dealt):
-        o = 0
-        for i in which:
-            n = sizes[i]
-            y[o : o + n - 1, lane] = symbols[i]
-            x[o + 1 : o + n, lane] = symbols[i]
-            fresh[o, lane] = True
-            place[i] = lane, o, o + n
-            o += n
-    return x, y, fresh, place, total
-
-
-def train(net: Gru, symbols: list[np.ndarray], epochs: int = 1, steps: int = 32, most: int = 64, rate: float = 1e-2) -> int:
+def train(net: Gru, symbols: list[np.ndarray], epochs: int = 1, steps: int = 32, most: int = 256, rate: float = 1e-2) -> int:
     """Trains the network on texts laid end to end and cut into lanes; the number of tokens."""
     y = np.concatenate([np.r_[x, END] for x in symbols]).astype(np.int16) if symbols else np.zeros(0, np.int16)
     size = len(y)
@@ -251,47 +255,70 @@ def train(net: Gru, symbols: list[np.ndarray], epochs: int = 1, steps: int = 32,
 
 def score_texts(net: Gru, symbols: list[np.ndarray], most: int = LANES, steps: int = STEPS) -> np.ndarray:
     """Natural log-likelihood of the symbols of each text and its end."""
-    x, y, fresh, place, total = laid_out(symbols, most)
-    sums = np.zeros((len(x) + 1, x.shape[1]))
-    h = np.zeros((x.shape[1], net.u.shape[0]), np.float32)
-    for i in range(0, len(x), steps):
-        live = int((total > i).sum())  # lanes are in order of their tokens
-        part = slice(i, i + steps), slice(0, live)
-        out, h, _ = net.states(h[:live], x[part], fresh[part])
-        sums[i + 1 : i + 1 + out.shape[0], :live] = net.log_probability(out.reshape(-1, out.shape[2]), y[part].reshape(-1)).reshape(out.shape[:2])
-    np.cumsum(sums, 0, out=sums)
-    return sums[place[:, 2], place[:, 0]] - sums[place[:, 1], place[:, 0]]
+    sizes = np.array([len(s) + 1 for s in symbols])
+    dealt = lanes(sizes, most)
+    order = np.array([i for x in dealt for i in x])
+    stop = np.cumsum(sizes[order])
+    begin = stop - sizes[order]
+    # lane after lane, text after text
+    y = np.zeros(stop[-1], np.int16)
+    for i, k in zip(order, begin, strict=True):
+        y[k : k + sizes[i] - 1] = symbols[i]
+    x = np.r_[END, y[:-1]]
+    fresh = np.zeros(len(y), bool)
+    fresh[begin] = True
+    x[begin] = END
+    total = np.array([sizes[x].sum() for x in dealt])  # lanes are in order of their tokens
+    lane = np.cumsum(total) - total
+    logs = np.zeros(len(y))
+    h = np.zeros((len(dealt), net.u.shape[0]), np.float32)
+    for i in range(0, total[0], steps):
+        live = int((total > i).sum())
+        t = i + np.arange(min(steps, total[0] - i))[:, None]
+        inside = t < total[:live]
+        at = np.where(inside, lane[:live] + t, 0)
+        out, h, _ = net.states(h[:live], x[at], fresh[at] & inside)
+        p = net.log_probability(out.reshape(-1, out.shape[2]), y[at].reshape(-1))
+        logs[at[inside]] = p[inside.reshape(-1)]
+    found = np.empty(len(symbols))
+    found[order] = np.add.reduceat(logs, begin)
+    return found
 
 
 class Scale:
-    """What is known of the corpus: the most frequent words with their counts, and totals."""
+    """What is known of the corpus: the most frequent words with their counts, and totals, those of kinds as (words, distinct words)."""
 
-    def __init__(self, top: list[tuple[int, int]], n_words: int, n_texts: int, distinct: int):
+    def __init__(self, top: list[tuple[int, int]], kinds: np.ndarray, n_texts: int):
         top = sorted(((np.uint64(w & (1 << 64) - 1), c) for w, c in top), key=lambda t: (-t[1], t[0]))
         keys = np.array([w for w, _ in top], np.uint64)
         n = np.array([c for _, c in top], np.int64)
         order = np.argsort(keys)
         self.keys, self.c = keys[order], n[order]
-        symbol = np.full(len(keys), OTHER, np.int16)
-        symbol[: SYMBOLS] = np.arange(2, 2 + min(SYMBOLS, len(keys)))
-        self.symbol = symbol[order]
-        self.n_symbols = 2 + min(SYMBOLS, len(keys))
-        self.n = n_words + n_texts  # with the ends
-        self.v = distinct + (n_texts > 0)
+        kind = (keys & np.uint64(KINDS - 1)).astype(np.int64)
+        named = min(SYMBOLS, len(keys))
+        symbol = 1 + kind
+        symbol[:named] = 1 + KINDS + np.arange(named)
+        self.symbol = symbol[order].astype(np.int16)
+        self.n_symbols = 1 + KINDS + named
+        self.n = int(kinds[:, 0].sum()) + n_texts  # with the ends
+        self.v = int(kinds[:, 1].sum()) + (n_texts > 0)
         self.n_texts = n_texts
-        named = int(n[:SYMBOLS].sum())
-        self.rest = n_words - named + distinct - min(SYMBOLS, len(keys)) + 1  # counts plus one of the words without a symbol, and one for the unseen
+        # counts plus one of the words of a kind that have no symbol, and one for the unseen
+        rest = kinds.sum(1) + 1.0
+        rest -= np.bincount(kind[:named], n[:named] + 1, KINDS)
+        self.log_rest = np.log10(rest)
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbol and count; count 0 for words that aren't among the most frequent."""
+        other = (1 + (h & np.uint64(KINDS - 1)).astype(np.int64)).astype(np.int16)
         if not len(self.keys):
-            return np.full(len(h), OTHER, np.int16), np.zeros(len(h), np.int64)
+            return other, np.zeros(len(h), np.int64)
         i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         ok = self.keys[i] == h
-        return np.where(ok, self.symbol[i], OTHER).astype(np.int16), np.where(ok, self.c[i], 0)
+        return np.where(ok, self.symbol[i], other), np.where(ok, self.c[i], 0)
 
 
-SCORED = "row long, doc_id long, n_words long, known long, base double, other double, n_other long, model double, rare array<long>, rare_n array<int>"
+SCORED = "row long, doc_id long, n_words long, known long, base double, other double, model double, rare array<long>, rare_n array<int>"
 
 
 def _scorer(scale, net):
@@ -307,18 +334,18 @@ def _scorer(scale, net):
             symbols = [p[1] for p in pool]
             model = score_texts(g, symbols)
             ids = pa.array([p[0] for p in pool], pa.int64())
-            cols = [np.array([p[k] for p in pool]) for k in range(2, 7)]
-            rare = [p[7] for p in pool]
+            cols = [np.array([p[k] for p in pool]) for k in range(2, 6)]
+            rare = [p[6] for p in pool]
             ends = pa.array(np.r_[0, np.cumsum([len(k) for k, _ in rare])].astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[k] for r in rare]).astype(t))) for k, t in ((0, np.int64), (1, np.int32))]
             row = pa.array(part + serial + np.arange(len(pool)))
             serial += len(pool)
             pool.clear()
             size = 0
-            n, known, base, other, n_other = cols
+            n, known, base, other = cols
             return pa.RecordBatch.from_arrays(
-                [row, ids, pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(other), pa.array(n_other.astype(np.int64)), pa.array(model), *lists],
-                ["row", "doc_id", "n_words", "known", "base", "other", "n_other", "model", "rare", "rare_n"],
+                [row, ids, pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(other), pa.array(model), *lists],
+                ["row", "doc_id", "n_words", "known", "base", "other", "model", "rare", "rare_n"],
             )
 
         for batch in batches:
@@ -329,13 +356,13 @@ def _scorer(scale, net):
                 symbol, c = s.look_up(h)
                 log = np.log10(c + 1.0)
                 sums = np.r_[0, np.cumsum(log)]
-                others = np.r_[0, np.cumsum(np.where(symbol == OTHER, log, 0))]
+                loose = (symbol > END) & (symbol <= KINDS)
+                others = np.r_[0, np.cumsum(np.where(loose, log - s.log_rest[np.where(loose, symbol - 1, 0)], 0))]
                 many = np.r_[0, np.cumsum(c > 0)]
-                left = np.r_[0, np.cumsum(symbol == OTHER)]
                 for k in range(j - i):
                     a, b = first[k], first[k + 1]
                     rare = np.unique(h[a:b][c[a:b] == 0].view(np.int64), return_counts=True)
-                    pool.append((ids[i + k], symbol[a:b], b - a, many[b] - many[a], sums[b] - sums[a], others[b] - others[a], left[b] - left[a], rare))
+                    pool.append((ids[i + k], symbol[a:b], b - a, many[b] - many[a], sums[b] - sums[a], others[b] - others[a], rare))
                     size += b - a + 1
                     if size >= POOL:
                         yield out()
@@ -345,6 +372,17 @@ def _scorer(scale, net):
     return run
 
 
+def _apart(key: np.ndarray) -> np.ndarray:
+    """Keys with the later ones of equal keys changed, so that a row repeated very often isn't one group's alone."""
+    order = np.argsort(key, kind="stable")
+    some = key[order]
+    head = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
+    serial = np.arange(len(key)) - np.repeat(head, np.diff(np.r_[head, len(key)]))
+    out = key.copy()
+    out[order] = np.where(serial > 0, W.mix(some.view(np.uint64) + serial.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64), some)
+    return out
+
+
 def _symbols(scale):
     def run(batches):
         for batch in batches:
@@ -353,7 +391,7 @@ def _symbols(scale):
                 h, first = tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 found = scale.value.look_up(h)[0].astype("<i2")
                 texts = [found[first[k] : first[k + 1]].tobytes() for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(texts, pa.binary())], ["key", "symbols"])
+                yield pa.RecordBatch.from_arrays([pa.array(_apart(batch.column(0).slice(i, j - i).to_numpy())), pa.array(texts, pa.binary())], ["key", "symbols"])
 
     return run
 
@@ -365,17 +403,17 @@ def _trained(net, epochs: int, rate: float):
         own.load(net.value.flat())
         group = group.sort_by([("key", "ascending"), ("symbols", "ascending")])
         n = train(own, [np.frombuffer(t, "<i2") for t in group["symbols"].to_pylist()], epochs, rate=rate)
-        return pa.table({"n": pa.array([n], pa.int64()), "net": pa.array([own.flat().astype("<f4").tobytes()], pa.binary())})
+        return pa.table({"n": pa.array([n], pa.int64()), "net": pa.array([(n * own.flat().astype("<f8")).tobytes()], pa.binary())})
 
     return run
 
 
 def _added(batches):
-    """One row of a partition's networks, weighted by tokens."""
+    """One row of a partition's networks, which are weighted by tokens."""
     n, total = 0, 0.0
     for batch in batches:
-        for k, net in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            n, total = n + k, total + k * np.frombuffer(net, "<f4").astype("<f8")
+        for k, net in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            n, total = n + k, total + np.frombuffer(net.as_buffer(), "<f8")
     if n:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "net"])
 
@@ -393,7 +431,9 @@ def fit(docs: DataFrame, scale: Scale) -> Gru:
     start = [(F.col("round") + F.col("group") == 0, 3 if rounds == groups == 1 else 1, 1e-2)]
     for which, epochs, rate in start + ([(F.col("round") == r, 1, 5e-3) for r in range(rounds)] if rounds * groups > 1 else []):
         task = _trained(sc.broadcast(net), epochs, rate)
-        sums = mapped(rows.where(which).groupBy("group").applyInArrow(task, "n long, net binary"), _added, "n long, net binary").collect()
+        # sums of partitions, then of a few: what comes to the driver doesn't grow
+        parts = mapped(rows.where(which).groupBy("group").applyInArrow(task, "n long, net binary"), _added, "n long, net binary")
+        sums = mapped(parts.repartition(8), _added, "n long, net binary").collect()
         n = sum(r.n for r in sums)
         if n:
             net = Gru(scale.n_symbols)
@@ -405,7 +445,9 @@ def learn(docs: DataFrame, known: int = KNOWN) -> tuple[DataFrame, Scale, Gru]:
     """The counts table, and the model fitted to docs (doc_id, text)."""
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     table_of = written(counts(docs))
-    total = table_of.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    kinds = np.zeros((KINDS, 2), np.int64)
+    for r in table_of.groupBy(F.col("word").bitwiseAND(KINDS - 1).alias("kind")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+        kinds[r.kind] = r.n, r.v
     # the count from which on there are at most so many words; the histogram of counts is short
     cut, held = 1, 0
     for r in table_of.groupBy("c").agg(F.count("*").alias("words")).orderBy(F.desc("c")).toLocalIterator():
@@ -414,7 +456,7 @@ def learn(docs: DataFrame, known: int = KNOWN) -> tuple[DataFrame, Scale, Gru]:
             cut = r.c + 1
             break
     top = table_of.where(F.col("c") >= cut).toArrow()
-    scale = Scale(list(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True)), int(total.n), docs.count(), int(total.v))
+    scale = Scale(list(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True)), kinds, docs.count())
     return table_of, scale, fit(docs, scale)
 
 
@@ -429,7 +471,7 @@ def score(docs: DataFrame, table_of: DataFrame, scale: Scale, net: Gru) -> DataF
     n = F.col("n_words") + 1
     end = float(np.log10(scale.n_texts + 1))
     base = F.col("base") + zero("rare_log") + F.lit(end) - n * F.lit(float(np.log10(scale.n + scale.v + 1)))
-    model = F.col("model") / F.lit(float(np.log(10))) + F.col("other") + zero("rare_log") - F.col("n_other") * F.lit(float(np.log10(max(1, scale.rest))))
+    model = F.col("model") / F.lit(float(np.log(10))) + F.col("other") + zero("rare_log")
     return rows.drop("rare", "rare_n").join(found, "row", "left").select(
         "doc_id",
         n.alias("n_tokens"),

@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -98,3 +99,71 @@ def test_all_texts_train_the_model(spark, monkeypatch):
         got = [r for r in G.score(df, *G.learn(df)).collect() if r.doc_id]
         # each word tells the next one, which the counts don't know
         assert len(got) == 499 and sum(r.score for r in got) > 0.3 * sum(r.base_score for r in got)
+
+
+def plain(net, symbols):
+    """The log-likelihood of one text, token by token, in float64."""
+    k = net.u.shape[0]
+    x, u, b, cw, cb, ww, wb = (p.astype(np.float64) for p in net.parameters())
+    h, last, total = np.zeros(k), G.END, 0.0
+    for y in [*symbols, G.END]:
+        i, g = x[last] + b, h @ u
+        z, r = 1 / (1 + np.exp(-(i[:k] + g[:k]))), 1 / (1 + np.exp(-(i[k : 2 * k] + g[k : 2 * k])))
+        n = np.tanh(i[2 * k :] + r * g[2 * k :])
+        h = (1 - z) * n + z * h
+        c, w = divmod(int(y), net.size)
+        a, s = h @ cw + cb, h @ ww[c] + wb[c]
+        total += a[c] - np.log(np.exp(a).sum()) + s[w] - np.log(np.exp(s).sum())
+        last = int(y)
+    return total
+
+
+def test_score_is_that_of_a_plain_loop(spark):
+    """Symbols, states and the split of a kind's probability, recomputed from words alone at the shipped settings."""
+    r = np.random.RandomState(2)
+    words = [f"w{i}{'abcd'[i % 4]}" for i in range(1500)]
+    text = lambda: " ".join(words[i] for i in [*(r.pareto(0.7, 40) * 8).clip(0, 1499).astype(int), *r.randint(0, 1500, 60)])
+    rows = [(i, text()) for i in range(60)] + [(60, None), (61, "unseen words .")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    table_of, scale, net = G.learn(df.where("doc_id < 50"), known=1100)
+    got = {r.doc_id: r.score for r in G.score(df, table_of, scale, net).collect()}
+    c = Counter(w for i, t in rows if i < 50 for w in toks(t)[:-1])
+    key = {w: int(G.tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]) for _, t in rows for w in toks(t)[:-1]}
+    named = sorted(c, key=lambda w: (-c[w], key[w]))[: G.SYMBOLS]
+    symbol = {w: 1 + G.KINDS + i for i, w in enumerate(named)}
+    kind = {w: key[w] % G.KINDS for w in key}
+    rest = Counter()
+    for w in c:
+        if w not in symbol:
+            rest[kind[w]] += c[w] + 1
+    for i, t in rows:
+        some = toks(t)[:-1]
+        loose = [w for w in some if w not in symbol]
+        want = plain(net, [symbol.get(w, 1 + kind[w]) for w in some]) / math.log(10) + sum(math.log10((c[w] + 1) / (rest[kind[w]] + 1)) for w in loose)
+        assert abs(got[i] - want) < 1e-3 * abs(want) + 1e-3
+    assert len(c) > G.SYMBOLS
+
+
+def test_a_text_of_a_million_tokens_is_scored_whole():
+    net = G.Gru(40, state=8)
+    long = np.tile(np.arange(1, 40, dtype=np.int16), 26_000)[:1_000_000]
+    texts = [long, *(long[i : i + 50] for i in range(600))]
+    tracemalloc.start()
+    got = G.score_texts(net, texts)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert np.isfinite(got).all() and abs(got[3] - plain(net, texts[3])) < 1e-2
+    assert abs(got[0] / 1_000_001 - plain(net, long[:4000]) / 4001) < 1e-2
+
+
+def test_model_is_better_than_counts_where_it_never_read(spark):
+    """Held-out texts at the shipped settings."""
+    got = [r for r in G.op8_gru_score(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_empty_documents_and_clashing_columns(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert G.score(df, *G.learn(df)).count() == 0
+    more = spark.createDataFrame([(1, "a b", "x", 3, 4), (1, "a b", "y", 3, 4)], "doc_id long, text string, word string, n long, row long")
+    assert G.score(more, *G.learn(more)).count() == 2
