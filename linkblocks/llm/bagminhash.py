@@ -25,7 +25,8 @@ rows, and no co-bucketed texts of different components stay uncompared. Every li
 is verified by the exact overlap of both multisets.
 
 Edge cases: null, empty and white-space texts are one class; equal texts always
-are; rows repeated under one id each get a row; extra columns are ignored.
+are; rows repeated under one id each get a row; a row without an id has the class of its
+copies that have one, else none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -222,7 +223,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) for each row of docs (doc_id, text); class_id is the least id of the class."""
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     marks = written(signed(docs))
-    reps = written(marks.groupBy("bag1", "bag2").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("bag1", "bag2", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")))
+    reps = written(marks.groupBy("bag1", "bag2").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "bands")).alias("r")).select("bag1", "bag2", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")))
     keyed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = written(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     links, labels = None, None

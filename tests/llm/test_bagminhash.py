@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from linkblocks.llm import bagminhash as B
 from linkblocks.llm import words as W
@@ -89,3 +90,26 @@ def test_blocks_find_what_leaders_miss(spark, monkeypatch):
         rows.append((i, " ".join(base)))
     got = {r.doc_id: r.class_id for r in B.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
+
+
+def test_rows_without_an_id(spark):
+    rows = [(None, "a b c d e f"), (4, "a b c d e f"), (None, "lonely text of no id here"), (5, None)]
+    got = [(r.doc_id, r.class_id) for r in B.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(None, 4), (4, 4), (None, None), (5, 5)], key=str)
+
+
+def test_a_dense_group_has_few_pairs(spark):
+    """Members of a group of 1,500 near copies meet a few leaders, and make one class with a chain of theirs."""
+    r = random.Random(6)
+    base = [f"d{i}" for i in range(200)]
+    rows = []
+    for i in range(1500):
+        w = list(base)
+        for _ in range(2):
+            w[r.randrange(200)] = f"x{r.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = B.signed(df).selectExpr("doc_id as rep", "posexplode(bands) as (band, key)")
+    shared = marks.join(marks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    assert B._led(shared, None, 0).count() < 12 * len(rows)
+    assert {r.class_id for r in B.near_duplicates(df).collect()} == {0}

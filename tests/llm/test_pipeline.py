@@ -6,6 +6,8 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline as C
 
+from linkblocks.llm import language, secrets
+
 from .test_bagminhash import brute
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +53,40 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in C.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def redacted(text):
+    """Spans of all rules by Python's expressions, overlapping ones as one."""
+    spans = []
+    for r in secrets.RULES:
+        for m in re.finditer(r.pattern, text, re.A):
+            if not r.group or len(m[r.group]) >= r.least:
+                spans.append(m.span())
+    out, pos = "", 0
+    for a, b in sorted(spans):
+        if a >= pos:
+            out += text[pos:a] + "[redacted]"
+        pos = max(pos, b)
+    return out + text[pos:]
+
+
+def test_run_end_to_end(spark):
+    """All stages one after the other, against brute force from the texts and the predicted languages."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    langs = {r.doc_id: r for r in language.op5_language_id(spark, SF).collect()}
+    ids = sorted(i for i in docs if langs[i].lang_pred != language.UNKNOWN and langs[i].score >= C.LEAST_SCORE)
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    left = {i for i in brute([(i, docs[i]) for i in ids]).values() if not any(x in docs[i] for x in items)}
+    got = {r.doc_id: r for r in C.run(spark, SF).collect()}
+    assert got.keys() == left
+    for i, r in got.items():
+        assert r.same and r.decoded_sha256 == hashlib.sha256(redacted(docs[i]).encode()).hexdigest()
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    more = docs.selectExpr("*", "'x' as blob", "1 as spans", "2 as class_id", "3 as rep", "4 as score", "'y' as lang_pred")
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, more, SF)
+        assert out.columns == more.columns and out.count() > 20
+    assert C.piece_stage(spark, more.unionByName(more), SF).count() == 60
