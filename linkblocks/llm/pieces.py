@@ -46,7 +46,7 @@ CACHED = 400_000
 #: Longest word that advances with others of its length.
 LONG = 255
 #: Bytes of text in numpy at once.
-STEP = 1 << 20
+STEP = 1 << 19
 
 
 def default_model() -> str:
