@@ -69,6 +69,8 @@ def gold_hits(blocks, gold: DataFrame) -> DataFrame:
 
 def n_pairs(blocks, distinct: bool = False) -> DataFrame:
     """One row (comparisons)."""
+    if distinct and isinstance(blocks, BlockSet):
+        return blocks.distinct_comparisons()
     if distinct:
         return blocks.all_pairs().distinct().agg(F.count("*").alias("comparisons"))
     if isinstance(blocks, BlockSet):

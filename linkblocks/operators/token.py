@@ -9,6 +9,31 @@ from ..blocks import BlockSet
 from ..functions.text import Tokenizer, exploded_tokens
 from ..model import TripleFrame
 from .base import Blocker, TextBlocker
+from .partners import partner_counts
+
+
+class TokenBlockSet(BlockSet):
+    """Token blocks of two (id, text) frames; distinct pairs are counted without listing them."""
+
+    def __init__(self, left, right, left_name, right_name, texts, tokenizer):
+        super().__init__(left, right, left_name, right_name)
+        self.texts, self.tokenizer = texts, tokenizer
+
+    def distinct_comparisons(self) -> DataFrame:
+        _, found = partner_counts(*self.texts, self.tokenizer)
+        return found.agg(F.coalesce(F.sum(F.col("ids") * F.col("n")), F.lit(0)).cast("bigint").alias("comparisons"))
+
+
+class PartitionBlockSet(BlockSet):
+    """A block for each left entity; its right ones are counted without listing them."""
+
+    def __init__(self, left, right, left_name, right_name, texts, tokenizer):
+        super().__init__(left, right, left_name, right_name, one_sided=True)
+        self.texts, self.tokenizer = texts, tokenizer
+
+    def sizes(self) -> DataFrame:
+        ids, found = partner_counts(*self.texts, self.tokenizer)
+        return ids.join(found, "profile").select(F.col("id").cast("string").alias("block_id"), F.lit(1).cast("bigint").alias("n_left"), F.col("n").alias("n_right"))
 
 
 class TokenBlocker(TextBlocker):
@@ -19,7 +44,7 @@ class TokenBlocker(TextBlocker):
 
     def assign_texts(self, left, right, left_name="left", right_name="right") -> BlockSet:
         side = lambda d: exploded_tokens(d, self.tokenizer).select(F.col("tok").alias("block_id"), F.col("id").alias("entity_id"))
-        return BlockSet(side(left), side(right), left_name, right_name)
+        return TokenBlockSet(side(left), side(right), left_name, right_name, (left, right), self.tokenizer)
 
 
 def unique_values(triples: DataFrame) -> DataFrame:
@@ -50,7 +75,7 @@ class PartitioningTokenBlocker(TextBlocker):
         pairs = a.join(b, "tok").select("id", "right_id").distinct()
         own = left.select(F.col("id").alias("block_id"), F.col("id").alias("entity_id"))
         # a left entity without a partner keeps its block, empty on the right
-        return BlockSet(own, pairs.select(F.col("id").alias("block_id"), F.col("right_id").alias("entity_id")), left_name, right_name, one_sided=True)
+        return PartitionBlockSet(own, pairs.select(F.col("id").alias("block_id"), F.col("right_id").alias("entity_id")), left_name, right_name, (left, right), self.tokenizer)
 
 
 def tfidf_weights(texts: DataFrame, tokenizer: Tokenizer, norm: str | None = "l2", use_idf: bool = True, smooth_idf: bool = True, sublinear_tf: bool = False) -> DataFrame:
