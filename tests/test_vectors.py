@@ -85,3 +85,27 @@ def test_approximate_neighbours(spark):
     exact = {(q.left_id, q.right_id) for q in K.nearest(a, b, 3).collect()}
     got = {(q.left_id, q.right_id) for q in K.builder("approximate", n_neighbors=3, tables=24, bits=4).build(a, b).df.collect()}
     assert len(exact & got) >= 0.9 * len(exact)
+
+
+def test_clusters_of_several_groups(spark, monkeypatch):
+    """Vectors that no one place may hold together: the trees of pairs of groups give the labels of all at once."""
+    r = np.random.RandomState(3)
+    x = np.concatenate([r.randn(40, 3) * s + c for s, c in ((0.3, [0, 0, 0]), (0.8, [9, 9, 0]), (0.1, [0, 9, 9]), (4, [4, 4, 4]))] + [np.ones((9, 3))])
+    x = np.round(x[r.permutation(len(x))], 6)
+    rows = [(f"{i:03d}", [float(v) for v in p]) for i, p in enumerate(x)]
+    frame = lambda part: spark.createDataFrame(part, "name string, vec array<double>").repartition(3)
+    for options in ({"min_cluster_size": 5}, {"min_cluster_size": 4, "min_samples": 7, "metric": "cosine", "method": "leaf"}):
+        want = hdbscan(x, **options)
+        with monkeypatch.context() as m:
+            m.setattr(K, "GROUP", 16)
+            m.setattr(K, "JOINED", 2)
+            found = K.clustered(frame(rows[:90]), frame(rows[90:]), **options)
+        got = {r.id: r.label for side in found for r in side.collect()}
+        assert [got[n] for n, _ in rows] == want.tolist()
+
+
+def test_clustering_has_no_most_rows(spark):
+    n = 20_500
+    frame = spark.range(n).selectExpr("cast(id as string) as name", "array(cast(id % 41 as double), cast(id % 500 as double) / 1e4) as vec")
+    a, b = K.clustered(frame.where("name % 2 = 0"), frame.where("name % 2 = 1"), min_cluster_size=100)
+    assert a.union(b).groupBy("label").count().where("label >= 0").count() == 41
