@@ -22,11 +22,10 @@ def profiles(texts: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     own = texts.select("id", F.transform(tokenizer.tokens(F.col("text"), True), lambda t: F.xxhash64(t)).alias("toks")).withColumn("toks", F.coalesce("toks", F.array().cast("array<bigint>")))
     if not texts.groupBy("id").count().where("count > 1").isEmpty():
         own = own.groupBy("id").agg(F.flatten(F.collect_list("toks")).alias("toks"))
-    return own.select("id", F.array_sort(F.array_distinct("toks")).alias("toks"))
+    return own.select("id", F.sort_array(F.array_distinct("toks")).alias("toks"))
 
 
-def _packed(rows: DataFrame, prefix: str, size: int, value: str) -> DataFrame:
-    groups = max(1, math.ceil(rows.count() / size))
+def _packed(rows: DataFrame, prefix: str, groups: int, value: str) -> DataFrame:
     return rows.groupBy(F.pmod(F.xxhash64("toks"), F.lit(groups)).alias(f"{prefix}_pack")).agg(F.collect_list(F.struct(F.col(value).alias("value"), "toks")).alias(prefix))
 
 
@@ -37,58 +36,81 @@ def _lists(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows.field("value").to_numpy(zero_copy_only=False), toks.flatten().to_numpy(zero_copy_only=False), toks.value_lengths().to_numpy(zero_copy_only=False)
 
 
-def counts(toks: np.ndarray, sizes: np.ndarray, there: np.ndarray, there_sizes: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """For each list of tokens the weight of the lists there that share one with it."""
-    out, m = np.zeros(len(sizes), np.int64), len(there_sizes)
-    if not len(there):
+class Held:
+    """Which of some lists of tokens hold a token: bitmaps of frequent tokens, places of the others."""
+
+    def __init__(self, toks: np.ndarray, sizes: np.ndarray, weight: np.ndarray):
+        self.m, self.weight = len(sizes), weight.astype(float)
+        order = np.argsort(toks, kind="stable")
+        toks = toks[order]
+        self.first = np.flatnonzero(np.r_[True, toks[1:] != toks[:-1]]) if len(toks) else np.zeros(0, int)
+        self.known, self.n = toks[self.first], np.diff(np.r_[self.first, len(toks)])
+        self.by = np.repeat(np.arange(self.m, dtype=np.int32), sizes)[order]
+        common, words = np.flatnonzero(self.n > RARE), -(-self.m // 64)
+        self.row = np.full(len(self.known), -1)
+        self.row[common] = np.arange(len(common))
+        bits = np.zeros((len(common), 8 * words), np.uint8)
+        step = max(1, (1 << 24) // max(1, 64 * words))
+        for i in range(0, len(common), step):
+            part = common[i : i + step]
+            mask = np.zeros((len(part), 64 * words), bool)
+            mask[np.repeat(np.arange(len(part)), self.n[part]), self.places(part)] = True
+            bits[i : i + step] = np.packbits(mask, axis=1, bitorder="little")
+        self.bits = bits.view(np.uint64)
+
+    def places(self, tokens: np.ndarray) -> np.ndarray:
+        n = self.n[tokens]
+        ends = np.cumsum(n)
+        return self.by[np.arange(ends[-1] if len(n) else 0) + np.repeat(self.first[tokens] - ends + n, n)]
+
+    def counts(self, toks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """For each list of tokens the weight of the lists held that share one with it."""
+        out = np.zeros(len(sizes), np.int64)
+        if not len(self.known):
+            return out
+        at = np.minimum(np.searchsorted(self.known, toks), len(self.known) - 1)
+        hit = self.known[at] == toks
+        at, sizes = at[hit], np.bincount(np.repeat(np.arange(len(sizes)), sizes)[hit], minlength=len(sizes))
+        row, ends = self.row[at], np.r_[0, np.cumsum(sizes)].tolist()
+        for i in np.flatnonzero(sizes).tolist():
+            mine, dense = at[ends[i] : ends[i + 1]], row[ends[i] : ends[i + 1]]
+            common = dense >= 0
+            union = np.bitwise_or.reduce(self.bits[dense[common]], axis=0)
+            mask = np.unpackbits(union.view(np.uint8), count=self.m, bitorder="little")
+            mask[self.places(mine[~common])] = 1
+            out[i] = round(mask.astype(float) @ self.weight)
         return out
-    known, which, n = np.unique(there, return_inverse=True, return_counts=True)
-    holder = np.repeat(np.arange(m), there_sizes)
-    by, first = holder[np.argsort(which, kind="stable")], np.r_[0, np.cumsum(n)]
-    common = np.flatnonzero(n > RARE)
-    row = np.full(len(known), -1)
-    row[common] = np.arange(len(common))
-    bits = np.zeros((len(common), -(-m // 8)), np.uint8)
-    for i, c in enumerate(common):
-        mask = np.zeros(m, bool)
-        mask[by[first[c] : first[c + 1]]] = True
-        bits[i] = np.packbits(mask)
-    ends = np.r_[0, np.cumsum(sizes)]
-    for i in range(len(sizes)):
-        mine = toks[ends[i] : ends[i + 1]]
-        at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-        at = at[known[at] == mine]
-        if not len(at):
-            continue
-        dense = row[at]
-        mask = np.unpackbits(np.bitwise_or.reduce(bits[dense[dense >= 0]], axis=0), count=m).astype(bool) if len(common) else np.zeros(m, bool)
-        for c in at[dense < 0]:
-            mask[by[first[c] : first[c + 1]]] = True
-        out[i] = weight[mask].sum()
-    return out
 
 
 def _meet(batches):
+    pack, held = None, None
     for whole in batches:
         for batch in (whole.slice(i, 1) for i in range(whole.num_rows)):
             col = lambda n: batch.column(batch.schema.get_field_index(n))[0]  # noqa: B023, E731
+            if held is None or col("r_pack").as_py() != pack:
+                # one right group meets left ones in turn
+                weight, there, there_sizes = _lists(col("r"))
+                pack, held = col("r_pack").as_py(), Held(there, there_sizes, weight)
             value, toks, sizes = _lists(col("l"))
-            weight, there, there_sizes = _lists(col("r"))
-            yield pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(counts(toks, sizes, there, there_sizes, weight), pa.int64())], ["profile", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(held.counts(toks, sizes), pa.int64())], ["profile", "n"])
 
 
-def partner_counts(left: DataFrame, right: DataFrame, tokenizer: Tokenizer) -> tuple[DataFrame, DataFrame]:
-    """(id, profile) of left (id, text), and (profile, n): how many right ids share a token with the left ones of a profile.
+def partner_counts(left: DataFrame, right: DataFrame, tokenizer: Tokenizer, members: bool = True) -> tuple[DataFrame | None, DataFrame]:
+    """(id, profile) of left (id, text) if ``members``, and (profile, ids, n): how many right ids share a token with each of the left ones of a profile.
 
     Entities of equal tokens are one profile; groups of profiles meet and no pair is
     listed. What meets still grows with the product of the sides' profiles.
     """
     conf, key = left.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    conf.set(key, f"{64 << 20}b")
-    own = settled(profiles(left, tokenizer))
+    conf.set(key, f"{16 << 20}b")
+    own = profiles(left, tokenizer)
+    own = settled(own) if members else own
     # numbered in one place: the partition in the upper bits, no shuffle to one task
     mine = settled(own.groupBy("toks").agg(F.count("*").alias("ids")).withColumn("profile", F.monotonically_increasing_id()))
-    yours = settled(profiles(right, tokenizer).groupBy("toks").agg(F.count("*").alias("n")))
-    both = _packed(mine, "l", LEFT, "profile").crossJoin(_packed(yours, "r", RIGHT, "n"))
+    yours = profiles(right, tokenizer).groupBy("toks").agg(F.count("*").alias("n"))
+    groups = [max(1, math.ceil(n / size)) for n, size in ((mine.count(), LEFT), (right.count(), RIGHT))]
+    lefts, rights = (_packed(d, p, n, v).repartition(min(n, most), f"{p}_pack") for d, p, n, v, most in ((mine, "l", groups[0], "profile", 12), (yours, "r", groups[1], "n", 6)))
+    both = settled(rights).hint("shuffle_replicate_nl").crossJoin(lefts)
     found = both.mapInArrow(_meet, "profile long, n long").groupBy("profile").agg(F.sum("n").alias("n"))
-    return own.join(mine, "toks").select("id", "profile"), mine.select("profile", "ids").join(found, "profile", "left").select("profile", "ids", F.coalesce("n", F.lit(0)).alias("n"))
+    sums = mine.select("profile", "ids").join(found, "profile", "left").select("profile", "ids", F.coalesce("n", F.lit(0)).alias("n"))
+    return own.join(mine, "toks").select("id", "profile") if members else None, sums

@@ -20,7 +20,7 @@ class TokenBlockSet(BlockSet):
         self.texts, self.tokenizer = texts, tokenizer
 
     def distinct_comparisons(self) -> DataFrame:
-        _, found = partner_counts(*self.texts, self.tokenizer)
+        _, found = partner_counts(*self.texts, self.tokenizer, members=False)
         return found.agg(F.coalesce(F.sum(F.col("ids") * F.col("n")), F.lit(0)).cast("bigint").alias("comparisons"))
 
 
