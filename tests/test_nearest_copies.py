@@ -38,3 +38,10 @@ def test_a_group_of_many_right_vectors(spark):
     finally:
         K.MATRIX = K_matrix
     assert all((x[0] == y[0]).all() and (x[1] == y[1]).all() for x, y in zip(whole, parts, strict=True))
+
+
+def test_groups_of_the_left_side_are_tasks(spark):
+    frame = spark.range(400).selectExpr("cast(id as string) as name", "array(cast(id as double), cast(id % 7 as double)) as vec")
+    assert K._packed(frame, "l", 20).rdd.getNumPartitions() == 20
+    got = {r.left_id: r.right_id for r in K.nearest(frame, frame, 1, pack=20).collect()}
+    assert len(got) == 400 and all(a == b for a, b in got.items())

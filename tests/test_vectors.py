@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from linkblocks.functions import counts
 from linkblocks.operators.clustering import handle_noise
 from linkblocks.vectors import encoders as E
 from linkblocks.vectors import knn as K
@@ -109,3 +110,19 @@ def test_clustering_has_no_most_rows(spark):
     frame = spark.range(n).selectExpr("cast(id as string) as name", "array(cast(id % 41 as double), cast(id % 500 as double) / 1e4) as vec")
     a, b = K.clustered(frame.where("name % 2 = 0"), frame.where("name % 2 = 1"), min_cluster_size=100)
     assert a.union(b).groupBy("label").count().where("label >= 0").count() == 41
+
+
+@pytest.mark.parametrize("known", [0, 3, 1000])
+def test_means_of_hashed_tokens_are_not_exploded(spark, monkeypatch, known):
+    """Sums in place and of rare tokens equal those by a table of all words; texts without a token have a vector of their id."""
+    monkeypatch.setattr(counts, "FREQUENT", known)
+    words = "red green blue plum pear kiwi lime fig".split()
+    texts = spark.createDataFrame([(i % 2, f"d{i}", None if i == 7 else " ".join(words[(i * k) % 8] for k in range(i % 6))) for i in range(60)], "side int, id string, text string").repartition(3)
+    table = E.hash_vectors(spark.createDataFrame([(w,) for w in words], "tok string"), 5)
+    for kind in (E.AverageEncoder, E.SifEncoder):
+        want = {(r.side, r.id): r.vec for r in kind(table, size=5).vectors(texts).collect()}
+        monkeypatch.setattr(kind, "tokens", None)
+        got = kind(size=5).vectors(texts).collect()
+        monkeypatch.undo()
+        monkeypatch.setattr(counts, "FREQUENT", known)
+        assert len(got) == 60 and all(r.vec == pytest.approx(want[r.side, r.id]) for r in got)
